@@ -21,12 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import components
-from corpusloom.llm.forms import mix, plain_codes, trigram_codes, window_hashes
+from corpusloom.llm.forms import mix, plain_codes
 from corpusloom.llm.likeness import likeness_of_plain, plain_column
+from corpusloom.llm.sketch import agreeing, four_bit_marks, minhash_symbols, text_key
 from corpusloom.llm.tables import stored, table
 
 BLOCKS, WIDTH = 16, 3
@@ -35,38 +36,6 @@ LIKENESS = 0.6
 AGREEING = 9
 
 
-def minhash_symbols(codes: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
-    """count x texts minhash values over runs of three; texts under three characters must not be given."""
-    grams = mix(trigram_codes(codes))
-    ends = starts[1:] - 2
-    inside = np.zeros(len(grams) + 1, np.int64)
-    inside[starts[:-1]] += 1
-    inside[ends] -= 1
-    keep = np.cumsum(inside[:-1]) > 0
-    grams = grams[keep]
-    at = np.concatenate([[0], np.cumsum(ends - starts[:-1])])[:-1]
-    rng = np.random.default_rng(20240607)
-    odd = rng.integers(1, 2**63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    add = rng.integers(0, 2**63, count, dtype=np.uint64)
-    out = np.empty((count, len(starts) - 1), np.uint64)
-    work = np.empty_like(grams)
-    with np.errstate(over="ignore"):
-        for i in range(count):
-            np.multiply(grams, odd[i], out=work)
-            work += add[i]
-            out[i] = np.minimum.reduceat(work, at)
-    return mix(out)
-
-
-def text_key(codes: np.ndarray, starts: np.ndarray, seed: int) -> np.ndarray:
-    """A 64-bit key of every text: a polynomial sum of mixed (position, character) codes."""
-    at = np.arange(len(codes), dtype=np.uint64) - np.repeat(starts[:-1], np.diff(starts)).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        each = mix(codes.astype(np.uint64) + mix(at + np.uint64(seed)))
-        total = np.concatenate([[np.uint64(0)], np.cumsum(each, dtype=np.uint64)])
-        return mix(total[starts[1:]] - total[starts[:-1]] + np.diff(starts).astype(np.uint64))
-
-
 def fingerprints(blocks: int, width: int):
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
@@ -81,21 +50,11 @@ def fingerprints(blocks: int, width: int):
             symbols = minhash_symbols(codes, starts, blocks * width)
             with np.errstate(over="ignore"):
                 anchors = [mix(symbols[b * width] + mix(symbols[b * width + 1] + mix(symbols[b * width + 2] + np.uint64(b)))) for b in range(blocks)]
-            nibbles = symbols[:32] >> np.uint64(60)
-            marks = [np.bitwise_or.reduce([nibbles[16 * half + k] << np.uint64(4 * k) for k in range(16)]).view(np.int64) for half in (0, 1)]
-            yield pd.DataFrame({"id": ids, "h": text_key(codes, starts, 1).view(np.int64), "g": text_key(codes, starts, 2).view(np.int64), "m1": marks[0], "m2": marks[1], "anchors": list(np.stack(anchors, 1).view(np.int64))})
+            yield pd.DataFrame({"id": ids, "h": text_key(codes, starts, 1), "g": text_key(codes, starts, 2), "m1": four_bit_marks(symbols[:16]), "m2": four_bit_marks(symbols[16:32]), "anchors": list(np.stack(anchors, 1).view(np.int64))})
 
     return make
 
 
-def agreeing(a: Column, b: Column) -> Column:
-    """How many of the sixteen four-bit symbols of two longs agree."""
-    x = a.bitwiseXOR(b)
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-    return F.lit(16) - F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-
-
 def near_duplicates(records: DataFrame, threshold: float = LIKENESS, blocks: int = BLOCKS, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """Pairs of representatives (a < b, likeness) and membership (id, rep) of id, query, response records."""
     records = records.select("id", "query", "response")
