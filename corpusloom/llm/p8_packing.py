@@ -43,19 +43,20 @@ def token_counts(documents: DataFrame, path: str = DEFAULT_RANKS) -> DataFrame:
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 600) -> np.ndarray:
-    """Non-negative least squares by active sets."""
+    """Non-negative least squares by active sets, on the normal equations."""
+    gram, target = a.T @ a, a.T @ b
     x, active = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
     for _ in range(rounds):
-        gain = a.T @ (b - a @ x)
-        gain[active] = -1
+        gain = np.where(active, -1.0, target - gram @ x)
         best = int(gain.argmax())
-        if gain[best] <= 1e-9 * max(1.0, float(np.abs(b).max())):
+        if gain[best] <= 1e-9 * max(1.0, float(np.abs(target).max())):
             break
         active[best] = True
-        while True:
+        while active.any():
+            at = np.flatnonzero(active)
             s = np.zeros_like(x)
-            s[active] = np.linalg.lstsq(a[:, active], b, rcond=None)[0]
-            if not (s[active] <= 0).any():
+            s[at] = np.linalg.solve(gram[np.ix_(at, at)] + 1e-9 * np.eye(len(at)), target[at])
+            if (s[at] > 0).all():
                 x = s
                 break
             low = active & (s <= 0)
@@ -63,8 +64,6 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 600) -> np.ndarray:
             x = x + step * (s - x)
             active &= x > 1e-12
             x[~active] = 0
-            if not active.any():
-                break
     return x
 
 
