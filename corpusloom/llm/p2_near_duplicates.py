@@ -33,7 +33,7 @@ from corpusloom.llm.tables import stored, table
 BLOCKS, WIDTH = 16, 3
 LIKENESS = 0.6
 #: Of 32 four-bit symbols, so many agree at least: a likeness of 0.6 gives 20 +- 2.8.
-AGREEING = 9
+AGREEING = 13
 
 
 def fingerprints(blocks: int, width: int):
@@ -58,9 +58,8 @@ def fingerprints(blocks: int, width: int):
 def near_duplicates(records: DataFrame, threshold: float = LIKENESS, blocks: int = BLOCKS, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """Pairs of representatives (a < b, likeness) and membership (id, rep) of id, query, response records."""
     records = records.select("id", "query", "response")
-    prints = records.mapInPandas(fingerprints(blocks, width), "id long, h long, g long, m1 long, m2 long, anchors array<long>")
+    prints = stored(records.mapInPandas(fingerprints(blocks, width), "id long, h long, g long, m1 long, m2 long, anchors array<long>"), "p2-fingerprints")
     reps = prints.groupBy("h", "g").agg(F.min("id").alias("rep"), F.first("m1").alias("m1"), F.first("m2").alias("m2"), F.first("anchors").alias("anchors"))
-    reps = stored(reps, "p2-fingerprints")
     placed = reps.select(F.explode("anchors").alias("anchor"), "rep", "m1", "m2")
     a, b = placed.alias("a"), placed.alias("b")
     met = (F.col("a.anchor") == F.col("b.anchor")) & (F.col("a.rep") < F.col("b.rep")) & (agreeing(F.col("a.m1"), F.col("b.m1")) + agreeing(F.col("a.m2"), F.col("b.m2")) >= AGREEING)
@@ -68,7 +67,7 @@ def near_duplicates(records: DataFrame, threshold: float = LIKENESS, blocks: int
     candidates = stored(candidates, "p2-candidates")
     ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = records.join(ids, "id").groupBy("id").agg(F.first("query").alias("query"), F.first("response").alias("response"))
-    texts = texts.select("id", F.concat(plain_column("query"), plain_column("response")).alias("plain"))
+    texts = stored(texts.select("id", F.concat(plain_column("query"), plain_column("response")).alias("plain")), "p2-texts")
     read = candidates.join(texts.select(F.col("id").alias("a"), F.col("plain").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("plain").alias("y")), "b")
     pairs = read.select("a", "b", likeness_of_plain("x", "y").alias("likeness")).where(F.col("likeness") >= threshold)
     members = prints.select("id", "h", "g").distinct().join(reps.select("h", "g", "rep"), ["h", "g"]).select("id", "rep")
