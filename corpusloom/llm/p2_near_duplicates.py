@@ -7,7 +7,7 @@ fingerprint lies at distance 0 from exactly one anchor per block (the anchors of
 covering code of radius 0 of that block), and it is replicated to all anchors within covering
 radius plus threshold of it: with a threshold of BLOCKS - 1 differing blocks, those are the BLOCKS
 anchors at distance 0 in some block.  Two fingerprints that differ in fewer than BLOCKS symbols
-share an anchor for certain, others with probability 1 - (1 - s**WIDTH)**BLOCKS (0.999 at 0.7).
+share an anchor for certain, others with probability 1 - (1 - s**WIDTH)**BLOCKS (0.9998 at 0.7).
 Fingerprints are compared per anchor, by 32 four-bit symbols in two longs, inside the join; the few
 pairs that pass are compared exactly by their texts.
 
@@ -30,7 +30,7 @@ from corpusloom.llm.likeness import likeness_of_plain, plain_column
 from corpusloom.llm.sketch import agreeing, four_bit_marks, minhash_symbols, text_key
 from corpusloom.llm.tables import stored, table
 
-BLOCKS, WIDTH = 16, 3
+BLOCKS, WIDTH = 20, 3
 LIKENESS = 0.6
 #: Of 32 four-bit symbols, so many agree at least: a likeness of 0.6 gives 20 +- 2.8.
 AGREEING = 13
