@@ -30,6 +30,7 @@ class Vocabulary:
     def __init__(self, path: str):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in Path(path).read_bytes().splitlines() if line)}
         self.bytes_of = {v: k for k, v in self.ranks.items()}
+        self.size_of = {v: len(k) for k, v in self.ranks.items()}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.trie: dict = {}
         for token, rank in self.ranks.items():
@@ -65,51 +66,44 @@ def vocabulary(path: str = DEFAULT_RANKS) -> Vocabulary:
 
 
 class PrefixTable:
-    """The unique last token, its start and the token count of every byte prefix of one word."""
+    """The unique last token of every byte prefix of one word; its size leads to the prefix before it."""
 
     def __init__(self, vocab: Vocabulary, word: bytes = b""):
         self.vocab, self.word = vocab, b""
         self.last: list[int] = [-1]
-        self.start: list[int] = [0]
-        self.count: list[int] = [0]
         self.append(word)
 
     def append(self, more: bytes) -> None:
         """Extend the word; entries of its prefixes stay."""
         word = self.word = self.word + more
-        last, start, count, pairs, root = self.last, self.start, self.count, self.vocab.pairs, self.vocab.trie
+        last, known, root = self.last, self.vocab.pairs.get, self.vocab.trie
+        keep = last.append
         for end in range(len(last), len(word) + 1):
-            node, at, found = root, end, -1
-            while at:
-                node = node.get(word[at - 1])
-                if node is None:
-                    break
-                at -= 1
+            node, at = root.get(word[end - 1]), end - 1
+            while True:
                 token = node.get(-1)
                 if token is not None:
-                    left = last[at]
-                    ok = at == 0 or pairs.get((left, token))
-                    if ok is None:
-                        ok = self.vocab.valid(left, token)
-                    if ok:
-                        found = token
+                    if not at:
+                        break
+                    ok = known((last[at], token))
+                    if ok or (ok is None and self.vocab.valid(last[at], token)):
                         break
-            last.append(found)
-            start.append(at)
-            count.append(count[at] + 1)
+                at -= 1
+                node = node[word[at]]
+            keep(token)
 
     def edit(self, at: int, drop: int, put: bytes) -> None:
         """Replace ``drop`` bytes at ``at``; entries before the edit stay, later ones are made again."""
         word = self.word[:at] + put + self.word[at + drop :]
-        del self.last[at + 1 :], self.start[at + 1 :], self.count[at + 1 :]
+        del self.last[at + 1 :]
         self.word = word[:at]
         self.append(word[at:])
 
     def tokens(self) -> list[int]:
-        out, end = [], len(self.word)
+        out, end, size = [], len(self.word), self.vocab.size_of
         while end:
             out.append(self.last[end])
-            end = self.start[end]
+            end -= size[out[-1]]
         return out[::-1]
 
 

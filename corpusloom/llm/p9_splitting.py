@@ -30,7 +30,7 @@ WORD, SPACE, MARK, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(7)
 _SENTENCE, _CLAUSE, _MARK = set("。！？!?…‥"), set("；;：:"), set("，,、）)】」』”")
 
 
-@functools.cache
+@functools.lru_cache(400_000)
 def _level(word: str) -> int:
     """Level of the end of a word, as far as the word tells."""
     if word.isspace():
@@ -70,20 +70,17 @@ class Cutter:
         """For each level, the word numbers before which a cut of that level lies."""
         if self._by_level is None:
             by: list[list[int]] = [[] for _ in range(7)]
-            last = len(self.words)
-            for i, w in enumerate(self.words[:-1], 1):
-                level = _level(w) if len(w) < 40 else WORD
-                follows = self.words[i]
-                if level == WORD and w[-1] == "." and follows[0].isspace():
-                    level = SENTENCE
-                elif level == LINE and "\n" in follows and follows.isspace():
-                    continue  # the end of the run of breaks counts, as a paragraph
-                elif level == LINE and i > 1 and "\n" in self.words[i - 2] and self.words[i - 2].isspace():
-                    level = PARAGRAPH
-                elif level == WORD and follows[0].isspace():
-                    level = SPACE
-                by[level].append(i)
-            by[WORD] = list(range(1, last))
+            words = self.words
+            for i, (w, follows) in enumerate(zip(words, words[1:]), 1):
+                level = _level(w)
+                if level == WORD:
+                    if follows[0] in " \n\t\r\u3000":
+                        by[SENTENCE if w[-1] == "." else SPACE].append(i)
+                elif level != LINE:
+                    by[level].append(i)
+                elif "\n" not in follows or not follows.isspace():  # else the end of the run of breaks counts
+                    by[PARAGRAPH if i > 1 and "\n" in words[i - 2] and words[i - 2].isspace() else LINE].append(i)
+            by[WORD] = list(range(1, len(words)))
             self._by_level = by
         return self._by_level
 
