@@ -19,7 +19,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.bpe import DEFAULT_RANKS, Encoder, encoder
@@ -143,26 +143,44 @@ class Cutter:
 def cut_batches(path: str, settings: list[tuple[int, int, int]]):
     smallest = min(c - o for _, c, o in settings)
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for df in batches:
-            rows = []
-            for doc_id, text in zip(df["doc_id"], df["text"], strict=True):
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, TYPES, strict=True)], NAMES)
+            for c in columns:
+                c.clear()
+            return out
+
+        columns: list[list] = [[] for _ in NAMES]
+        limits, docs, numbers, starts, owns, stops, sizes, texts = columns
+        for batch in batches:
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 if not text or len(text.encode("utf-8", "replace")) <= smallest:
                     continue
                 cutter = Cutter(enc, text, max(1, smallest // 4))
                 for limit_id, capacity, overlap in settings:
                     if cutter.total > capacity:
-                        rows += [(limit_id, doc_id, i, *p, text[p[0] : p[2]]) for i, p in enumerate(cutter.pieces(capacity, overlap))]
-                if len(rows) > 20_000:
-                    yield pd.DataFrame(rows, columns=NAMES)
-                    rows = []
-            yield pd.DataFrame(rows, columns=NAMES)
+                        cut = cutter.pieces(capacity, overlap)
+                        n = len(cut)
+                        limits += [limit_id] * n
+                        docs += [doc_id] * n
+                        numbers += range(n)
+                        for start, own, stop, size in cut:
+                            starts.append(start)
+                            owns.append(own)
+                            stops.append(stop)
+                            sizes.append(size)
+                            texts.append(text[start:stop])
+                if len(texts) > 10_000:
+                    yield flush()
+        yield flush()
 
     return make
 
 
 NAMES = ["limit_id", "doc_id", "piece", "start", "own", "stop", "tokens", "text"]
+TYPES = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.string()]
 SCHEMA = "limit_id long, doc_id long, piece int, start int, own int, stop int, tokens int, text string"
 
 
@@ -173,7 +191,7 @@ def split_documents(documents: DataFrame, settings: list[tuple[int, int, int]],
             raise ValueError(f"overlap {overlap} does not lie under capacity {capacity}")
     if not settings:
         return documents.sparkSession.createDataFrame([], SCHEMA)
-    return documents.select("doc_id", "text").mapInPandas(cut_batches(path, settings), SCHEMA)
+    return documents.select("doc_id", "text").mapInArrow(cut_batches(path, settings), SCHEMA)
 
 
 def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
