@@ -31,13 +31,13 @@ def independent_first(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     open_edges = edges
     while True:
         earlier = open_edges.join(state.select(F.col("id").alias("a"), F.col("kept").alias("a_kept")), "a")
-        seen = earlier.groupBy("b").agg(F.count_if("a_kept is null").alias("undecided"), F.min(F.when(F.col("a_kept"), F.col("a"))).alias("first_kept"))
+        seen = earlier.groupBy("b").agg(F.count_if(F.expr("a_kept is null")).alias("undecided"), F.min(F.when(F.col("a_kept"), F.col("a"))).alias("first_kept"))
         judged = state.where("kept is null").join(seen, F.col("id") == F.col("b"), "left")
         kept = F.when(F.col("first_kept").isNotNull() & (F.col("undecided") == 0), F.lit(False)).when(F.coalesce("undecided", F.lit(0)) == 0, F.lit(True))
         gone = F.col("first_kept").isNotNull() & (F.coalesce("undecided", F.lit(0)) == 0)
         new = judged.select("id", kept.alias("kept"), F.when(gone, F.col("first_kept")).alias("by"))
         state = stored(state.where("kept is not null").unionByName(new), "mis-state")
-        left = state.agg(F.count_if("kept is null")).first()[0]
+        left = state.agg(F.count_if(F.expr("kept is null"))).first()[0]
         if not left:
             return state
 

@@ -128,4 +128,4 @@ def accounting(source: DataFrame, accepted: DataFrame, rejected: DataFrame, key:
     """One row: source rows, and those that are missing, repeated or foreign among accepted and rejected."""
     used = accepted.select(key).unionAll(rejected.select(key)).groupBy(key).agg(F.count("*").alias("n"))
     both = source.select(key, F.lit(1).alias("there")).join(used, key, "full_outer")
-    return both.agg(F.count("there").alias("source_rows"), F.count_if("n is null").alias("missing"), F.count_if("n > 1").alias("repeated"), F.count_if("there is null").alias("foreign"))
+    return both.agg(F.count("there").alias("source_rows"), F.count_if(F.expr("n is null")).alias("missing"), F.count_if(F.expr("n > 1")).alias("repeated"), F.count_if(F.expr("there is null")).alias("foreign"))

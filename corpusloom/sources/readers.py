@@ -118,7 +118,7 @@ def lazy_files(spark: SparkSession, path: str, schema: StructType | str, per_tri
 def indexed_vectors(vectors: DataFrame, documents: DataFrame, key: str) -> DataFrame:
     """vectors, documents, matched: the sizes that must agree before an index may be searched."""
     both = vectors.select(F.col(key).alias("v")).join(documents.select(F.col(key).alias("d")), F.col("v") == F.col("d"), "full_outer")
-    return both.agg(F.count("v").alias("vectors"), F.count("d").alias("documents"), F.count_if("v = d").alias("matched"))
+    return both.agg(F.count("v").alias("vectors"), F.count("d").alias("documents"), F.count_if(F.expr("v = d")).alias("matched"))
 
 
 def html_text(html) -> object:
