@@ -114,6 +114,7 @@ class Encoder:
         self.vocab, self.keep = vocabulary(path), keep
         self.split = regex.compile(WORDS).findall
         self.known: dict[str, np.ndarray] = {}
+        self.sizes: dict[str, int] = {}
 
     def word(self, word: str) -> np.ndarray:
         ids = self.known.get(word)
@@ -132,8 +133,17 @@ class Encoder:
         parts = [x if (x := get(w)) is not None else word(w) for w in self.split(text)]
         return np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
+    def size(self, word: str) -> int:
+        """Number of ids of one word; kept apart from the ids, as it takes little room."""
+        n = self.sizes.get(word)
+        if n is None:
+            if len(self.sizes) >= 3 * self.keep:
+                self.sizes.clear()
+            n = self.sizes[word] = len(PrefixTable(self.vocab, word.encode("utf-8", "replace")).tokens())
+        return n
+
     def count(self, text: str) -> int:
-        return sum(len(self.word(w)) for w in self.split(text))
+        return sum(map(self.size, self.split(text)))
 
 
 @functools.cache

@@ -14,11 +14,11 @@ capacity, null and empty ones have no pieces.  A capacity must exceed its overla
 
 from __future__ import annotations
 
-import functools
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,58 +30,74 @@ WORD, SPACE, MARK, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(7)
 _SENTENCE, _CLAUSE, _MARK = set("。！？!?…‥"), set("；;：:"), set("，,、）)】」』”")
 
 
-@functools.lru_cache(400_000)
-def _level(word: str) -> int:
-    """Level of the end of a word, as far as the word tells."""
+#: Bits of a word's code beside its level: it begins with white space, it is white space, it holds a line break, it ends with a full stop.
+_BEGINS, _BLANK, _BREAK, _STOP, _SHIFT = 8, 16, 32, 64, 7
+
+
+def _code(word: str) -> int:
+    """Level of the end of a word, as far as the word tells, and its bits."""
+    code = _BEGINS * word[0].isspace() | _BREAK * ("\n" in word) | _STOP * (word[-1] == ".")
     if word.isspace():
-        return PARAGRAPH if word.count("\n") > 1 else LINE if "\n" in word else SPACE
+        return code | _BLANK | (PARAGRAPH if word.count("\n") > 1 else LINE if "\n" in word else SPACE)
     marks = set(word)
     for level, chars in ((SENTENCE, _SENTENCE), (CLAUSE, _CLAUSE), (MARK, _MARK)):
         if marks & chars:
-            return level
-    return WORD
+            return code | level
+    return code | WORD
 
 
 class Cutter:
-    """Pieces of one text for any number of (capacity, overlap) settings."""
-
-    def __init__(self, enc: Encoder, text: str, unit: int):
-        self.enc, self.text = enc, text
-        words, sizes, self.cut_inside = [], [], False
-        known, word = enc.known.get, enc.word
-        for w in enc.split(text):
-            n = len(x if (x := known(w)) is not None else word(w))
-            if n > unit and len(w) > 1:
-                self.cut_inside = True
-                step = max(1, len(w) * unit // (2 * n))
-                for i in range(0, len(w), step):
-                    words.append(w[i : i + step])
-                    sizes.append(len(word(words[-1])))
-            else:
-                words.append(w)
-                sizes.append(n)
-        self.words, self.sizes = words, sizes
-        self.tokens = list(accumulate(sizes, initial=0))
+    """Pieces of one text for any number of (capacity, overlap) settings.
+
+    ``known`` keeps size and code of words in one number each, for all texts of a worker.
+    """
+
+    def __init__(self, enc: Encoder, text: str, unit: int, known: dict[str, int]):
+        self.enc, self.text, self.cut_inside = enc, text, False
+        words = enc.split(text)
+        try:
+            facts = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        except KeyError:
+            if len(known) > 1_000_000:
+                known.clear()
+            for w in words:
+                if w not in known:
+                    known[w] = enc.size(w) << _SHIFT | _code(w)
+            facts = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        sizes = facts >> _SHIFT
+        if len(words) and sizes.max() > unit:
+            parts = []
+            for w, n in zip(words, sizes.tolist(), strict=True):
+                if n > unit and len(w) > 1:
+                    self.cut_inside = True
+                    step = max(1, len(w) * unit // (2 * n))
+                    parts += [w[i : i + step] for i in range(0, len(w), step)]
+                else:
+                    parts.append(w)
+            words = parts
+            facts = np.fromiter((enc.size(w) << _SHIFT | _code(w) for w in words), np.int64, len(words))
+            sizes = facts >> _SHIFT
+        self.words, self.codes = words, facts & ((1 << _SHIFT) - 1)
+        self.sizes = sizes.tolist()
+        self.tokens = list(accumulate(self.sizes, initial=0))
         self.chars = list(accumulate(map(len, words), initial=0))
         self.total = self.tokens[-1]
         self._by_level: list[list[int]] | None = None
 
     def levels(self) -> list[list[int]]:
-        """For each level, the word numbers before which a cut of that level lies."""
+        """Word numbers before which a cut lies, level by level, strongest first; empty levels are left out."""
         if self._by_level is None:
-            by: list[list[int]] = [[] for _ in range(7)]
-            words = self.words
-            for i, (w, follows) in enumerate(zip(words, words[1:]), 1):
-                level = _level(w)
-                if level == WORD:
-                    if follows[0] in " \n\t\r\u3000":
-                        by[SENTENCE if w[-1] == "." else SPACE].append(i)
-                elif level != LINE:
-                    by[level].append(i)
-                elif "\n" not in follows or not follows.isspace():  # else the end of the run of breaks counts
-                    by[PARAGRAPH if i > 1 and "\n" in words[i - 2] and words[i - 2].isspace() else LINE].append(i)
-            by[WORD] = list(range(1, len(words)))
-            self._by_level = by
+            codes = self.codes
+            here, following = codes[:-1], codes[1:]
+            level = here & 7
+            spaced = (level == WORD) & ((following & _BEGINS) > 0)
+            level = np.where(spaced, np.where((here & _STOP) > 0, SENTENCE, SPACE), level)
+            breaks = (codes & (_BLANK | _BREAK)) == (_BLANK | _BREAK)
+            after = np.concatenate([[False], breaks[:-2]]) if len(codes) > 1 else np.zeros(0, bool)
+            line = level == LINE
+            level = np.where(line & breaks[1:], -1, np.where(line & after, PARAGRAPH, level))  # only the end of a run of breaks counts
+            by = [(np.flatnonzero(level == k) + 1).tolist() for k in range(PARAGRAPH, WORD, -1)]
+            self._by_level = [*filter(None, by), range(1, len(self.words))]
         return self._by_level
 
     def middle(self, a: int, b: int) -> int:
@@ -89,20 +105,24 @@ class Cutter:
         tokens = self.tokens
         half, quarter = (tokens[a] + tokens[b]) / 2, (tokens[b] - tokens[a]) / 4
         centre = bisect_left(tokens, half, a, b + 1)
-        for cuts in reversed(self.levels()):
+        for cuts in self.levels():
             at = bisect_left(cuts, centre)
-            near = [c for c in cuts[max(0, at - 1) : at + 1] if a < c < b and abs(tokens[c] - half) <= quarter]
-            if near:
-                return min(near, key=lambda c: (abs(tokens[c] - half), c))
+            best, off = 0, quarter
+            for c in cuts[max(0, at - 1) : at + 1]:
+                if a < c < b and (d := abs(tokens[c] - half)) <= off and (d < off or not best):
+                    best, off = c, d
+            if best:
+                return best
         return min(max(centre, a + 1), b - 1)
 
     def size(self, a: int, b: int) -> int:
         """Tokens of the text of words a..b; a run of white space at its end is one word there."""
+        if not self.words[b - 1][-1].isspace():
+            return self.tokens[b] - self.tokens[a]
         end = b
         while end > a and self.words[end - 1].isspace():
             end -= 1
-        n = self.tokens[end] - self.tokens[a]
-        return n + self.enc.count("".join(self.words[end:b])) if end < b else n
+        return self.tokens[end] - self.tokens[a] + (self.enc.count("".join(self.words[end:b])) if end < b else 0)
 
     def parts(self, limit: int) -> list[tuple[int, int]]:
         out, todo = [], [(0, len(self.words))]
@@ -128,7 +148,7 @@ class Cutter:
             if first and room and a:
                 before = self.words[first - 1]
                 for k in range(min(len(before) - 1, room), 0, -1):
-                    if (n := len(self.enc.word(before[-k:]))) <= room:
+                    if (n := self.enc.size(before[-k:])) <= room:
                         start, extra = start - k, n
                         break
             tokens = self.size(first, b) + extra
@@ -140,11 +160,16 @@ class Cutter:
         return out
 
 
+#: Words of a worker process, by vocabulary.
+_KNOWN: dict[str, dict[str, int]] = {}
+
+
 def cut_batches(path: str, settings: list[tuple[int, int, int]]):
     smallest = min(c - o for _, c, o in settings)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
+        known = _KNOWN.setdefault(path, {})
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, TYPES, strict=True)], NAMES)
@@ -158,7 +183,7 @@ def cut_batches(path: str, settings: list[tuple[int, int, int]]):
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 if not text or len(text.encode("utf-8", "replace")) <= smallest:
                     continue
-                cutter = Cutter(enc, text, max(1, smallest // 4))
+                cutter = Cutter(enc, text, max(1, smallest // 4), known)
                 for limit_id, capacity, overlap in settings:
                     if cutter.total > capacity:
                         cut = cutter.pieces(capacity, overlap)
