@@ -96,7 +96,7 @@ WARNING_CONCEPTS = {
     "chest_pain": (["胸(?:口|前|部)?.{0,6}(?:疼|痛)"], ["(?:没有|无|没|不)(?:.{0,3})胸(?:口|前|部)?.{0,4}(?:疼|痛)"]),
     "dyspnea": (["呼吸.{0,4}(?:困难|费劲|费力)|喘不上|上不来气|气短"], ["(?:没有|无|没|不).{0,3}(?:呼吸.{0,3}(?:困难|费劲)|气短)"]),
     "severe_dyspnea": (["呼吸极度困难|几乎喘不上|完全喘不上"], []),
-    "hematemesis": (["(?:呕|吐)(?:出|了)?.{0,6}血"], ["(?:没有|无|没|不).{0,3}(?:呕|吐)血"]),
+    "hematemesis": (["(?:呕|吐)[^，。；]{0,7}血"], ["(?:没有|无|没|不).{0,3}(?:呕|吐)血"]),
     "fatigue": (["疲倦|乏力|疲劳|没力气|总觉得累"], ["(?:没有|无|没|不).{0,2}(?:疲倦|乏力|疲劳)"]),
     "weight_loss": (["体重.{0,5}(?:下降|减轻)"], ["(?:没有|无|没).{0,3}体重.{0,3}(?:下降|减轻)"]),
     "palpitation": (["心慌|心悸"], ["(?:没有|无|没|不).{0,2}(?:心慌|心悸)"]),
