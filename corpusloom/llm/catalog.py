@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.llm import oracles
 from corpusloom.llm import p1_cross_split as p1
 from corpusloom.llm import p2_near_duplicates as p2
 from corpusloom.llm import p3_pairs as p3
@@ -39,4 +40,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other queries are tested against brute force, round trips and a public implementation in tests/llm."""
+    names = ("p1_found", "p2_found", "p4_found", "p5_found", "p5_collapsed", "p6_found", "p6_clean")
+    return {n: getattr(oracles, n)() for n in names}
