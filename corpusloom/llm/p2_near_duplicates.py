@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import components
-from corpusloom.llm.forms import mix, plain_codes
+from corpusloom.llm.forms import plain_codes
 from corpusloom.llm.likeness import likeness_of_plain, plain_column
-from corpusloom.llm.sketch import agreeing, four_bit_marks, minhash_symbols, text_key
+from corpusloom.llm.sketch import agreeing, block_anchors, four_bit_marks, minhash_symbols, text_key
 from corpusloom.llm.tables import stored, table
 
 BLOCKS, WIDTH = 20, 3
@@ -48,9 +48,7 @@ def fingerprints(blocks: int, width: int):
             ids, codes = df["id"].to_numpy()[whole], codes[keep]
             starts = np.concatenate([[0], np.cumsum(np.diff(starts)[whole])])
             symbols = minhash_symbols(codes, starts, blocks * width)
-            with np.errstate(over="ignore"):
-                anchors = [mix(symbols[b * width] + mix(symbols[b * width + 1] + mix(symbols[b * width + 2] + np.uint64(b)))) for b in range(blocks)]
-            yield pd.DataFrame({"id": ids, "h": text_key(codes, starts, 1), "g": text_key(codes, starts, 2), "m1": four_bit_marks(symbols[:16]), "m2": four_bit_marks(symbols[16:32]), "anchors": list(np.stack(anchors, 1).view(np.int64))})
+            yield pd.DataFrame({"id": ids, "h": text_key(codes, starts, 1), "g": text_key(codes, starts, 2), "m1": four_bit_marks(symbols[:16]), "m2": four_bit_marks(symbols[16:32]), "anchors": list(block_anchors(symbols, blocks, width))})
 
     return make
 

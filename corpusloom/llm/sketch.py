@@ -53,3 +53,15 @@ def agreeing(a: Column, b: Column) -> Column:
     x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
     x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
     return F.lit(16) - F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+
+def block_anchors(symbols: np.ndarray, blocks: int, width: int) -> np.ndarray:
+    """texts x blocks: the anchor of each block of ``width`` symbols."""
+    out = []
+    with np.errstate(over="ignore"):
+        for b in range(blocks):
+            h = np.full(symbols.shape[1], b, np.uint64)
+            for k in range(width):
+                h = mix(symbols[b * width + k] + mix(h))
+            out.append(h)
+    return np.stack(out, 1).view(np.int64)

@@ -193,3 +193,16 @@ def test_p6(spark, tables, most):
 @pytest.mark.parametrize("query", [p1.p1_found, p1.p1_report, p2.p2_found, p2.p2_groups, p3.p3_found, p3.p3_report, p4.p4_found, p4.p4_forms, p5.p5_found, p5.p5_collapsed, p6.p6_found, p6.p6_clean])
 def test_empty_tables(spark, tables, query):
     assert query(spark, tables()).count() == 0
+
+
+def test_p1_with_a_stock_phrase(spark, tables, t0, monkeypatch):
+    """Half of all texts share a long phrase; pairs that depend on it alone are still found."""
+    monkeypatch.setattr(p1, "SAMPLE", 1)
+    monkeypatch.setattr(p1, "LEAST", 5)
+    rng = random.Random(8)
+    phrase = text(rng, 80)
+    texts = [phrase + text(rng, 10 if i % 3 else 90) for i in range(60)] + [text(rng, 90) for _ in range(60)]
+    rows = [(i, "s", "train" if i % 2 else "heldout", t, None, None, t0) for i, t in enumerate(texts)]
+    want = {("qa_records", i, j) for i in range(120) for j in range(i + 1, 120) if (i + j) % 2 and jaccard(texts[i], texts[j]) >= 0.6}
+    assert len(want) > 100
+    assert pairs(p1.p1_found(spark, tables(qa_records=rows))) == want
