@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import catalog_relational, catalog_rules, catalog_struct, catalog_systems, catalog_text  # noqa: F401
+from corpusloom.plans import catalog_io, catalog_relational, catalog_rules, catalog_struct, catalog_systems, catalog_text  # noqa: F401
 from corpusloom.plans.registry import QUERIES, SQL, Query
 
 
