@@ -2,14 +2,13 @@
 
 Fingerprint of a text: BLOCKS * WIDTH minhash symbols over the distinct runs of three characters of
 its plain form.  Two texts of likeness s agree in each symbol with probability s, so likeness is a
-Hamming similarity of fingerprints.  The anchors are the words over one block of WIDTH symbols.  A
-fingerprint lies at distance 0 from exactly one anchor per block (the anchors of a block are a
-covering code of radius 0 of that block), and it is replicated to all anchors within covering
-radius plus threshold of it: with a threshold of BLOCKS - 1 differing blocks, those are the BLOCKS
-anchors at distance 0 in some block.  Two fingerprints that differ in fewer than BLOCKS symbols
-share an anchor for certain, others with probability 1 - (1 - s**WIDTH)**BLOCKS (0.9998 at 0.7).
-Fingerprints are compared per anchor, by 32 four-bit symbols in two longs, inside the join; the few
-pairs that pass are compared exactly by their texts.
+Hamming similarity of fingerprints.  The anchors of a block are the words of its WIDTH symbols with
+one free place: they cover the block's words with radius 0, and words at distance 1 share one.  Each
+fingerprint is replicated to every anchor at distance 0 in some block, WIDTH in each.  Fingerprints
+that differ in fewer than 2 * BLOCKS of the symbols share an anchor for certain (some block then
+differs in one symbol at most), others with probability 1 - (1 - s**4 - 4 * s**3 * (1 - s))**BLOCKS:
+0.9998 at a likeness of 0.7, 0.994 at 0.6.  Fingerprints are compared per anchor, by four bits of 32
+symbols in two longs, inside the join; the few pairs that pass are compared exactly by their texts.
 
 Equal plain forms are collapsed to a representative first.  Texts with a plain form of under three
 characters have no run of three and match nothing.
@@ -30,7 +29,7 @@ from corpusloom.llm.likeness import likeness_of_plain, plain_column
 from corpusloom.llm.sketch import agreeing, block_anchors, four_bit_marks, minhash_symbols, text_key
 from corpusloom.llm.tables import stored, table
 
-BLOCKS, WIDTH = 20, 3
+BLOCKS, WIDTH = 8, 4
 LIKENESS = 0.6
 #: Of 32 four-bit symbols, so many agree at least: a likeness of 0.6 gives 20 +- 2.8.
 AGREEING = 13

@@ -56,12 +56,18 @@ def agreeing(a: Column, b: Column) -> Column:
 
 
 def block_anchors(symbols: np.ndarray, blocks: int, width: int) -> np.ndarray:
-    """texts x blocks: the anchor of each block of ``width`` symbols."""
+    """texts x (blocks * width): the anchors within distance 1 of each block's word of ``width`` symbols.
+
+    An anchor is a word with one free place.  Words of a block that differ in at most one symbol lie on
+    a common anchor, so fingerprints that differ in fewer than 2 * blocks symbols share one for certain.
+    """
     out = []
     with np.errstate(over="ignore"):
         for b in range(blocks):
-            h = np.full(symbols.shape[1], b, np.uint64)
-            for k in range(width):
-                h = mix(symbols[b * width + k] + mix(h))
-            out.append(h)
+            for free in range(width):
+                h = np.full(symbols.shape[1], b * width + free, np.uint64)
+                for k in range(width):
+                    if k != free:
+                        h = mix(symbols[b * width + k] + mix(h))
+                out.append(h)
     return np.stack(out, 1).view(np.int64)
