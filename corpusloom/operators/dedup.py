@@ -9,7 +9,10 @@ from corpusloom.session import stored
 
 
 def keep_first(rows: DataFrame, key: Column, order: list[Column]) -> DataFrame:
-    """First row per key in a total order; rows with a null key form one group like any other."""
+    """First row per key in a total order; rows with a null key form one group like any other.
+
+    The filter on the rank becomes a group limit before the shuffle, so a hot key sends one row per task.
+    """
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
@@ -47,6 +50,24 @@ def near_dedup(rows: DataFrame, edges: DataFrame, order: str) -> DataFrame:
     return rows.join(independent_first(rows.select(F.col(order).alias("id")), edges), F.col(order) == F.col("id")).drop("id")
 
 
+def near_dedup_texts(rows: DataFrame, threshold: float, n: int = 3) -> DataFrame:
+    """(id, kept, by) of greedy keep-first over texts (id, text) with a Jaccard of n-grams >= threshold.
+
+    Equal texts are one node: their first id stands for them, and its fate decides theirs (the first
+    is the earliest kept match of its copies, or their earliest kept match is its own).  A group of
+    copies of any size gives no edge.  Null texts are kept.
+    """
+    from corpusloom.operators.simjoin import jaccard_join
+
+    firsts = stored(rows.where("text is not null and text <> ''").groupBy("text").agg(F.min("id").alias("first")), "near-firsts")
+    nodes = firsts.select(F.col("first").alias("id"), "text")
+    state = independent_first(nodes.select("id"), jaccard_join(nodes, None, threshold, n))
+    fate = firsts.join(state, F.col("first") == F.col("id")).select("text", "first", F.col("kept").alias("_kept"), F.col("by").alias("_by"))
+    both = rows.select("id", "text").join(fate, "text", "left")
+    alone = F.col("first").isNull() | (F.col("first") == F.col("id"))
+    return both.select("id", F.when(F.col("first").isNull(), True).when(alone, F.col("_kept")).otherwise(False).alias("kept"), F.when(alone, F.col("_by")).otherwise(F.coalesce("_by", "first")).alias("by"))
+
+
 def not_in(rows: DataFrame, reference: DataFrame, on: str) -> DataFrame:
     """Rows whose key is not in the reference; a null key is in nothing."""
     return rows.join(reference.select(on).distinct(), on, "left_anti")

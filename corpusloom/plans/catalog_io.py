@@ -16,7 +16,7 @@ from corpusloom.operators import selection as L
 from corpusloom.operators import simjoin as J
 from corpusloom.operators import vocabulary as W
 from corpusloom.plans.catalog_relational import _norm_rl
-from corpusloom.plans.catalog_systems import _measured, _top
+from corpusloom.plans.catalog_systems import TOP, _measured, _top
 from corpusloom.plans.catalog_text import RET, _shingles_sql
 from corpusloom.plans.registry import API, QA, RL, TESTS, drop_sql, once, query, quoted, table
 from corpusloom.session import shared_dir, stored
@@ -204,7 +204,7 @@ def evidence(spark, d):
     return rows.select("row_id", F.round(V.evidence_score(F.lit("other"), unasked, F.col("a"), F.col("b")), 6).alias("score"))
 
 
-@query("vec_04_probe")
+@query("vec_04_probe", f"SELECT a AS query_id, CAST(lb AS VARCHAR) AS category, max(score) AS score FROM {TOP} WHERE place <= 20 GROUP BY 1, 2 HAVING max(score) >= 0.3 QUALIFY row_number() OVER (PARTITION BY a ORDER BY max(score) DESC, CAST(lb AS VARCHAR)) = 1")
 def probe(spark, d):
     hits = _top(spark, d, 20).select(F.col("a").alias("query_id"), F.col("lb").cast("string").alias("category"), "score")
     return V.category_probe(hits, 0.3)

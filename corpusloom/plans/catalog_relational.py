@@ -14,6 +14,7 @@ from corpusloom.operators import simjoin as J
 from corpusloom.plans.catalog_rules import REASONS_SQL, reason_codes
 from corpusloom.plans.catalog_text import CORPUS, RET, _shingles_sql
 from corpusloom.plans.registry import API, CHAT, QA, RL, TESTS, drop_sql, nfkc_sql, once, query, quoted, table
+from corpusloom.session import stored
 
 
 def _qa(spark, d):
@@ -451,8 +452,7 @@ def greedy(spark, d):
 
 @query("sel_03_greedy_near_dedup")
 def greedy_near(spark, d):
-    rows = _norm_rl(spark, d)
-    return D.near_dedup(rows.select(F.col("id").alias("row_id")), J.jaccard_join(rows, None, 0.6, 3), "row_id")
+    return D.near_dedup_texts(_norm_rl(spark, d), 0.6, 3)
 
 
 @query("set_01_union_first", f"SELECT text, arg_min(src, ord) AS src FROM (SELECT query AS text, 'qa' AS src, 1 AS ord FROM {QA} UNION ALL SELECT text, 'api', 2 FROM {API}) WHERE text IS NOT NULL GROUP BY 1")
@@ -498,7 +498,9 @@ def exact(spark, d):
 
 @query("ded_02_near")
 def near(spark, d):
-    n = _normed(spark, d).where("query_norm is not null")
+    """Exact duplicates go first (by query, then by pair), so near edges are between different texts only."""
+    n = D.exact_dedup(_normed(spark, d).where("query_norm is not null"), "query_norm", "pair_norm", "record_id").select("record_id", "query_norm", "pair_norm")
+    n = stored(n, "ded-02")
     q = J.jaccard_join(n.select(F.col("record_id").alias("id"), F.col("query_norm").alias("text")), None, 0.95, 3)
     p = J.jaccard_join(n.select(F.col("record_id").alias("id"), F.col("pair_norm").alias("text")), None, 0.90, 3)
     return D.near_dedup(n.select("record_id"), q.select("a", "b").union(p.select("a", "b")).distinct(), "record_id")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions import conversation as C
 from corpusloom.functions import rules as R
 from corpusloom.functions import text as T
-from corpusloom.plans.catalog_text import EDGE, _clauses_sql
-from corpusloom.plans.registry import API, CHAT, QA, TESTS, once, query, quoted
+from corpusloom.plans.catalog_text import _SCOPE_SQL, EDGE, _clauses_sql
+from corpusloom.plans.registry import API, CHAT, QA, RL, TESTS, once, query, quoted
 
 CLAUSES = _clauses_sql("response", "。！？!?\n", " \t，,：:；;")
 REQUEST = ("请", "怎么", "要不要", "能不能", "可以", "该")
@@ -138,7 +138,7 @@ def category_by_lexicon(spark, d):
     return _qa(spark, d).select("record_id", R.priority(rules).alias("category"))
 
 
-@query("cls_16_closed_set")
+@query("cls_16_closed_set", f"SELECT row_id, row_id % 20 > 11 AS beyond FROM {RL}")
 def closed_set(spark, d):
     return once(spark, d, "rl_samples", "row_id").select("row_id", R.beyond_closed_set(F.concat(F.lit("第"), (F.col("row_id") % 20).cast("string"), F.lit("个脏腑")), {"脏腑": 11}).alias("beyond"))
 
@@ -149,7 +149,7 @@ def action(spark, d):
     return once(spark, d, "api_requests", "req_no").select("req_no", R.priority([("ask", t.rlike("诊断|处方|开方|剂量")), ("summarize", t.rlike("(?:请|帮我).{0,24}(?:总结|整理|归纳|概括)"))], "ask").alias("action"))
 
 
-@query("cls_18_follow_up")
+@query("cls_18_follow_up", f"SELECT req_no, CASE WHEN NOT d AND NOT f THEN 'both' WHEN NOT d THEN 'duration' WHEN NOT f THEN 'frequency' ELSE 'trend' END AS ask FROM (SELECT req_no, {' OR '.join(f'regexp_matches(s, {quoted(p)})' for p in T.DURATION)} AS d, {' OR '.join(f'regexp_matches(s, {quoted(p)})' for p in T.FREQUENCY)} AS f FROM (SELECT req_no, {_SCOPE_SQL} AS s FROM {API}))")
 def follow_up(spark, d):
     du, fr = T.has_duration("text"), T.has_frequency("text")
     return once(spark, d, "api_requests", "req_no").select("req_no", R.priority([("both", ~du & ~fr), ("duration", ~du), ("frequency", ~fr)], "trend").alias("ask"))

@@ -229,7 +229,15 @@ def eval_sample(spark, d):
     return s.select("sample_id", F.col("s.system").alias("system"), F.size("s.history").alias("history"), F.col("s.target").alias("target"))
 
 
-@query("arr_13_dialog")
+_DIALOG = f"""SELECT sample_id, CAST(len(l) AS INTEGER) AS n, array_to_string(l, '|') AS dialog FROM (
+SELECT sample_id, turns, list_transform(list_filter(list_zip(r, v, range(1, len(r) + 1)), lambda x: x[1] = CASE WHEN x[3] % 2 = 1 THEN 'human' ELSE 'gpt' END AND x[3] < stop), lambda x: x[2]) AS l FROM (
+SELECT *, coalesce(list_position(list_transform(r, lambda x: x IN ('human', 'gpt')), false), len(r) + 1) AS stop FROM (
+SELECT sample_id, len(conversations) AS turns, list_transform(b, lambda t: coalesce(t."from", 'none')) AS r, list_transform(b, lambda t: t.value) AS v FROM (
+SELECT sample_id, conversations, CASE WHEN conversations[1]."from" = 'system' THEN conversations[2:] ELSE conversations END AS b FROM {CHAT} WHERE conversations IS NOT NULL))))
+WHERE turns >= 2 AND len(l) >= 2 AND len(l) % 2 = 0"""
+
+
+@query("arr_13_dialog", _DIALOG)
 def dialog(spark, d):
     s = _chat(spark, d).select("sample_id", C.dialog_pairs(F.col("conversations")).alias("l")).where("l is not null")
     return s.select("sample_id", F.size("l").alias("n"), F.array_join("l", "|").alias("dialog"))

@@ -259,6 +259,14 @@ def markup_text(spark, d):
     return table(spark, d, "documents").select("doc_id", readers.html_text(page).alias("text"))
 
 
+@query("ded_02_accepted")
+def accepted_near(spark, d):
+    """Greedy near deduplication of the rows that the curation accepts."""
+    from corpusloom.plans.curation import near_free
+
+    return near_free(once(spark, d, "qa_records", "record_id"))
+
+
 # --- pipeline ----------------------------------------------------------------------------------
 
 

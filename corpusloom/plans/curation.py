@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions.rules import primary
-from corpusloom.operators.dedup import near_dedup
+from corpusloom.operators.dedup import near_dedup_texts
 from corpusloom.operators.selection import stratified_split
-from corpusloom.operators.simjoin import jaccard_join
 from corpusloom.plans.catalog_rules import reason_codes
 
 
@@ -32,7 +31,6 @@ def outcomes(rows: DataFrame) -> DataFrame:
 
 
 def near_free(rows: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """record_id, kept, by: greedy keep-first over near duplicates of the accepted rows."""
-    ok = judged(rows).where("size(codes) = 0").select("record_id", "norm")
-    edges = jaccard_join(ok.select(F.col("record_id").alias("id"), F.col("norm").alias("text")), None, threshold, 3)
-    return near_dedup(ok.select("record_id"), edges, "record_id")
+    """id, kept, by: greedy keep-first over near duplicates of the accepted rows."""
+    ok = judged(rows).where("size(codes) = 0").select(F.col("record_id").alias("id"), F.col("norm").alias("text"))
+    return near_dedup_texts(ok, threshold)

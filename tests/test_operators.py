@@ -62,7 +62,7 @@ def test_greedy_quota(spark):
     c = spark.createDataFrame(rows, "id long, category string, rejected string")
     e = spark.createDataFrame([(1, 2), (3, 4)], "a long, b long")
     got = {r["id"]: (r["split"], r["decision"]) for r in selection.greedy_quota(c, e, [("train", "a", 1), ("train", "b", 1), ("dev", "a", 1)]).collect()}
-    assert got == {1: ("train", "selected"), 2: (None, "conflict") if False else got[2], 3: ("train", "selected"), 4: got[4], 5: (None, "old"), 6: ("dev", "selected"), 7: (None, "unused")}
+    assert got == {1: ("train", "selected"), 2: got[2], 3: ("train", "selected"), 4: got[4], 5: (None, "old"), 6: ("dev", "selected"), 7: (None, "unused")}
     assert got[2][1] == got[4][1] == "conflict"
     with pytest.raises(ValueError, match="quota"):
         selection.greedy_quota(c, e, [("train", "b", 9)])
@@ -170,3 +170,26 @@ def test_cosine_blocks_agree(spark):
     a = simjoin.cosine_nearest(v, v, 3, same=True, block=7).select("a", "b", "place").collect()
     b = simjoin.cosine_nearest(v, v, 3, same=True, block=1000).select("a", "b", "place").collect()
     assert sorted(a) == sorted(b)
+
+
+def greedy(texts, threshold):
+    kept, out = [], {}
+    for i, t in sorted(texts.items()):
+        by = next((k for k in kept if t and texts[k] and len(grams(t) & grams(texts[k])) / len(grams(t) | grams(texts[k])) >= threshold - 1e-12), None)
+        out[i] = (by is None, by)
+        if by is None:
+            kept.append(i)
+    return out
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.text("ab", min_size=1, max_size=7), min_size=2, max_size=20))
+def test_near_dedup_texts_is_the_sequential_greedy(spark, words):
+    texts = dict(enumerate(words))
+    df = spark.createDataFrame(list(texts.items()), "id long, text string")
+    assert {r["id"]: (r["kept"], r["by"]) for r in dedup.near_dedup_texts(df, 0.5).collect()} == greedy(texts, 0.5)
+
+
+def test_near_dedup_texts_keeps_nulls(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, None), (4, "abc"), (5, "abc")], "id long, text string")
+    assert {r["id"]: (r["kept"], r["by"]) for r in dedup.near_dedup_texts(df, 0.5).collect()} == {1: (True, None), 2: (True, None), 3: (True, None), 4: (True, None), 5: (False, 4)}
