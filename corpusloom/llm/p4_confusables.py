@@ -5,8 +5,8 @@ and the result is decomposed again (``forms.skeleton``).  Texts are grouped by e
 shuffle carries two 64-bit keys of the skeleton and one of the text, never the text.
 
 A null text has a null form and is in no pair.  Exact repeats of a text are no pair; copies of any
-number are collapsed per (skeleton, text) before groups are judged, and only groups that hold at
-least two different texts are expanded.
+number are collapsed per (skeleton, text) before groups are judged; different texts of a skeleton are
+paired first, and only such pairs are expanded to records.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from corpusloom.llm.forms import skeleton
-from corpusloom.llm.tables import table
+from corpusloom.llm.tables import stored, table
 
 
 @F.pandas_udf(StringType())
@@ -47,10 +47,13 @@ def look_alike_members(texts: DataFrame) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id_a < id_b: two records whose texts differ in code points and look the same."""
-    m = look_alike_members(confusable_texts(spark, sf_dir))
-    a, b = m.alias("a"), m.alias("b")
-    same = (F.col("a.s1") == F.col("b.s1")) & (F.col("a.s2") == F.col("b.s2")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.t") != F.col("b.t"))
-    return a.join(b, same).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+    m = stored(look_alike_members(confusable_texts(spark, sf_dir)), "p4-members")
+    texts = m.select("s1", "s2", "t").distinct()
+    x, y = texts.select("s1", "s2", F.col("t").alias("x")), texts.select("s1", "s2", F.col("t").alias("y"))
+    both = x.join(y, ["s1", "s2"]).where("x < y")
+    left, right = m.select("s1", "s2", F.col("t").alias("x"), F.col("id").alias("a")), m.select("s1", "s2", F.col("t").alias("y"), F.col("id").alias("b"))
+    out = both.join(left, ["s1", "s2", "x"]).join(right, ["s1", "s2", "y"])
+    return out.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
 
 
 def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
