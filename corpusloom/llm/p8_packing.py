@@ -26,7 +26,8 @@ from corpusloom.llm.bpe import DEFAULT_RANKS, encoder
 from corpusloom.llm.tables import stored, table
 
 GRID, PARTS = 128, 3
-SALTS = 32
+#: Parts of a size class that are numbered on their own: at least SALTS, and one for so many items.
+SALTS, ITEMS_PER_SALT = 32, 1_000_000
 
 
 def count_batches(path: str):
@@ -151,7 +152,7 @@ def find_containers(ranges: pd.DataFrame):
     return make
 
 
-def pack(sizes: DataFrame, capacity: int, grid: int = GRID, salts: int = SALTS) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int, salts: int = SALTS, grid: int = GRID) -> DataFrame:
     """doc_id, piece, start (first token), tokens, container for sizes (doc_id, tokens)."""
     grid = min(grid, capacity)
     large = F.col("tokens") > capacity
@@ -171,7 +172,7 @@ def pack(sizes: DataFrame, capacity: int, grid: int = GRID, salts: int = SALTS)
     for k, n in offsets.groupBy("size_class").agg(F.sum("n")).collect():  # at most grid + 1 rows
         histogram[k] = n
     numbered = rest.withColumn("local", F.row_number().over(Window.partitionBy("size_class", "salt").orderBy("doc_id")))
-    numbered = numbered.join(F.broadcast(offsets.select("size_class", "salt", "before")), ["size_class", "salt"])  # at most (grid + 1) * salts rows
+    numbered = numbered.join(offsets.select("size_class", "salt", "before"), ["size_class", "salt"])
     ranked = numbered.select("doc_id", "piece", "start", "tokens", "size_class", (F.col("before") + F.col("local") - 1).alias("rank"))
     packed = ranked.mapInPandas(find_containers(slots(plan_patterns(histogram, grid))), "doc_id long, piece int, start long, tokens long, container string")
     return packed.unionByName(full)
@@ -180,9 +181,10 @@ def pack(sizes: DataFrame, capacity: int, grid: int = GRID, salts: int = SALTS)
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """limit_id, capacity, doc_id, piece, start, tokens, container: every document under every capacity of token_limits."""
     sizes = stored(token_counts(table(spark, sf_dir, "documents")), "p8-sizes")
+    salts = max(SALTS, sizes.count() // ITEMS_PER_SALT)
     out = None
     for r in table(spark, sf_dir, "token_limits").orderBy("limit_id").collect():  # a fixed table of settings
-        one = pack(sizes, r["capacity"]).select(F.lit(r["limit_id"]).cast("long").alias("limit_id"), F.lit(r["capacity"]).cast("int").alias("capacity"), "doc_id", "piece", "start", "tokens", "container")
+        one = pack(sizes, r["capacity"], salts).select(F.lit(r["limit_id"]).cast("long").alias("limit_id"), F.lit(r["capacity"]).cast("int").alias("capacity"), "doc_id", "piece", "start", "tokens", "container")
         out = one if out is None else out.unionByName(one)
     return out
 
