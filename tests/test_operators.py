@@ -193,3 +193,38 @@ def test_near_dedup_texts_is_the_sequential_greedy(spark, words):
 def test_near_dedup_texts_keeps_nulls(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, None), (4, "abc"), (5, "abc")], "id long, text string")
     assert {r["id"]: (r["kept"], r["by"]) for r in dedup.near_dedup_texts(df, 0.5).collect()} == {1: (True, None), 2: (True, None), 3: (True, None), 4: (True, None), 5: (False, 4)}
+
+
+def test_markdown_and_csv_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a|b\nc")], "id long, t string")
+    assert writers.markdown_table(df) == "| id | t |\n|---|---|\n| 1 | a\\|b<br>c |\n"
+    with pytest.raises(ValueError, match="aggregates"):
+        writers.markdown_table(spark.range(5), most=4)
+    writers.write_csv(df, str(tmp_path / "c"), ["t", "id"])
+    assert spark.read.csv(str(tmp_path / "c"), header=True, multiLine=True).columns == ["t", "id"]
+
+
+def test_documents_are_extracted(spark, tmp_path):
+    import zipfile
+
+    (tmp_path / "a.txt").write_text("一\n\n二\n", encoding="utf-8")
+    (tmp_path / "b.md").write_text("# 题\n- [链](http://x) **粗**", encoding="utf-8")
+    (tmp_path / "c.html").write_text("<p>x&amp;y</p><script>no()</script>", encoding="utf-8")
+    (tmp_path / "d.pdf").write_bytes(b"%PDF")
+    with zipfile.ZipFile(tmp_path / "e.docx", "w") as z:
+        ns = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{ns}"><w:body><w:p><w:r><w:t>段一</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>段二</w:t></w:r></w:p></w:body></w:document>')
+    got = {r["path"].rsplit("/", 1)[1]: r["text"] for r in readers.extract_documents(spark, str(tmp_path)).collect()}
+    assert got == {"a.txt": "一\n二", "b.md": "题\n链 粗", "c.html": "x&y", "d.pdf": None, "e.docx": "段一\n段二"}
+    assert readers.join_broken_lines(["一句", "话。", "尾"]) == ["一句话。", "尾"]
+
+
+def test_numbered_lines_over_several_splits(spark, tmp_path):
+    p = tmp_path / "x.txt"
+    p.write_text("".join(f"{i}\n" for i in range(1, 2001)), encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = readers.numbered_lines(spark, str(p)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 2000 and all(int(r["value"]) == r["line"] for r in rows)
