@@ -14,8 +14,10 @@ most COMMON times the entries of a text) would pair everything with everything,
 their entries are left out.  A text that loses a quarter of its entries in this way is compared by
 minhash anchors instead, as in problem 2, so that no pair depends on stock phrases only.
 
-Texts shorter than 2 * SPAN enter with all suffixes, those shorter than SPAN as a whole.  Equal
-plain forms of one split side are collapsed to one representative before any suffix is made, so a
+A pair with a text of under SHORT characters may share no run of SPAN, so such pairs are met by an
+exact prefix filter on runs of three instead: under one order of all runs, rare ones first, two
+texts of the likeness share one of their first runs.  Texts that are too long to be like a short
+one do not enter it, and short texts do not enter the suffix array.  Equal plain forms of one split side are collapsed to one representative before any suffix is made, so a
 group of copies of any size costs one text.  Nulls, empty texts and texts without a letter or
 digit match nothing.
 """
@@ -29,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.forms import to_codes, window_hashes
+from corpusloom.llm.forms import mix, to_codes, trigram_codes, window_hashes
 from corpusloom.llm.likeness import likeness_of_plain, plain_column, span_coverage
 from corpusloom.llm.sketch import agreeing, block_anchors, four_bit_marks, minhash_symbols
 from corpusloom.llm.tables import first_value, stored, table
@@ -39,6 +41,10 @@ SPARSITY = 2
 #: Of 32 four-bit symbols, so many agree at least: a likeness of 0.6 gives 20 +- 2.8.
 AGREEING = 10
 LIKENESS = 0.6
+#: Pairs with a text of under SHORT plain characters take the prefix filter.
+SHORT = 64
+#: Runs of three are ordered by the counts of so many buckets of them.
+BUCKETS = 1 << 16
 COMMON, SAMPLE, LEAST = 200, 64, 50
 BLOCKS, WIDTH = 8, 4
 
@@ -52,7 +58,7 @@ def split_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entries_of(plain: list[str], span: int, sparsity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row and key of every entry of a batch of plain forms, each pair once; codes and starts."""
+    """Row and key of every entry of a batch of plain forms of SHORT characters and more, each pair once; codes and starts."""
     codes, starts = to_codes(plain)
     lengths = np.diff(starts)
     rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
@@ -60,16 +66,83 @@ def entries_of(plain: list[str], span: int, sparsity: int) -> tuple[np.ndarray,
     if len(hashes):
         row = np.repeat(np.arange(len(plain)), lengths)[: len(hashes)]
         inside = np.arange(len(hashes)) + span <= starts[1:][row]
-        chosen = inside & ((hashes % np.uint64(sparsity) == 0) | (lengths[row] < 2 * span))
+        chosen = inside & (hashes % np.uint64(sparsity) == 0) & (lengths[row] >= SHORT)
         rows.append(row[chosen])
         keys.append(hashes[chosen])
-    for i in np.flatnonzero((lengths < span) & (lengths >= 3)):
-        rows.append(np.array([i]))
-        keys.append(window_hashes(codes[starts[i] : starts[i + 1]], int(lengths[i])))
     both = np.unique(np.rec.fromarrays([np.concatenate(rows), np.concatenate(keys).view(np.int64)], names="row,key"))
     return both.row, both.key, codes, starts
 
 
+def runs_of_three(plain: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and hash of every run of three of a batch of plain forms, and the lengths of these."""
+    codes, starts = to_codes(plain)
+    lengths = np.diff(starts)
+    grams = mix(trigram_codes(codes))
+    row = np.repeat(np.arange(len(plain)), lengths)[: len(grams)]
+    inside = np.arange(len(grams)) + 3 <= starts[1:][row]
+    return row[inside], grams[inside], lengths
+
+
+def bucket_counts(texts: DataFrame) -> np.ndarray:
+    """How many runs of three of the texts (plain) fall into each bucket."""
+
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(BUCKETS, np.int64)
+        for df in batches:
+            total += np.bincount((runs_of_three(df["plain"].tolist())[1] % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"bucket": at, "n": total[at]})
+
+    got = texts.select("plain").mapInPandas(counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows
+    out = np.zeros(BUCKETS, np.int64)
+    out[got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    return out
+
+
+PREFIX_SCHEMA = "key long, rep long, m1 long, m2 long, grams int, place int, short boolean"
+
+
+def prefix_entries(order: np.ndarray, threshold: float):
+    """The first runs of three, in the order of their buckets, of every text that can be like one of under SHORT characters.
+
+    ``m1`` and ``m2`` hold the parity of the text's distinct runs in 128 classes: it differs between two
+    texts in no more places than they have runs of their own.
+    """
+    most = int((SHORT - 3) / threshold + 1e-9)
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            row, gram, lengths = runs_of_three(df["plain"].tolist())
+            rank = order[(gram % np.uint64(BUCKETS)).astype(np.int64)]
+            at = np.lexsort((gram, rank, row))
+            row, gram = row[at], gram[at]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])
+            row, gram = row[new], gram[new]
+            grams = np.bincount(row, minlength=len(df))
+            place = np.arange(len(row)) - (np.cumsum(grams) - grams)[row]
+            odd = np.bincount(row * 128 + (gram >> np.uint64(57)).astype(np.int64), minlength=len(df) * 128).reshape(len(df), 2, 64) & 1
+            marks = (odd.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(2, dtype=np.uint64).view(np.int64)
+            first = grams - np.ceil(threshold * grams - 1e-9).astype(np.int64) + 1
+            kept = (place < first[row]) & (grams[row] <= most)
+            row, gram, place = row[kept], gram[kept], place[kept]
+            yield pd.DataFrame({"key": gram.view(np.int64) ^ df["part"].to_numpy()[row], "rep": df["rep"].to_numpy()[row], "m1": marks[row, 0], "m2": marks[row, 1], "grams": grams[row], "place": place, "short": lengths[row] < SHORT})
+
+    return entries
+
+
+def short_pairs(parts: list[DataFrame], threshold: float) -> DataFrame:
+    """rep_eval, rep_train of all pairs of (rep, part, plain) of train and evaluation that can have the likeness and hold a short text."""
+    order = bucket_counts(parts[0].unionByName(parts[1]))
+    tr, ev = (p.mapInPandas(prefix_entries(order, threshold), PREFIX_SCHEMA).alias(name) for p, name in zip(parts, ("train", "eval"), strict=True))
+    x, y, both = F.col("eval.grams"), F.col("train.grams"), F.col("eval.grams") + F.col("train.grams")
+    apart = F.bit_count(F.col("eval.m1").bitwiseXOR(F.col("train.m1"))) + F.bit_count(F.col("eval.m2").bitwiseXOR(F.col("train.m2")))
+    left = F.least(x - F.col("eval.place"), y - F.col("train.place"))  # common runs at most, from the first common one on
+    can = (left * (1 + threshold) >= both * threshold - 1e-6) & (apart * (1 + threshold) <= both * (1 - threshold) + 1e-6)
+    met = ev.join(tr, (F.col("eval.key") == F.col("train.key")) & (F.col("eval.short") | F.col("train.short")) & can)
+    return met.select(F.col("eval.rep").alias("rep_eval"), F.col("train.rep").alias("rep_train"))
+
+
 def suffix_entries(span: int, sparsity: int, common: np.ndarray):
     """Entries of the sparse suffix array: part key, representative and sketch of every chosen suffix."""
 
@@ -135,18 +208,17 @@ def cross_split_overlaps(texts: DataFrame, span: int = SPAN, sparsity: int = SPA
     sample = keyed.where(F.pmod("h", F.lit(SAMPLE)) == 0).dropDuplicates(same).select(F.xxhash64("tbl").alias("part"), "plain")
     common = common_keys(stored(sample, "p1-sample"), span, sparsity)
     makers = [suffix_entries(span, sparsity, common)] + ([anchors_of_stock_texts(span, sparsity, common)] if len(common) else [])
-    spans = None
+    spans = short_pairs(parts, threshold)
     for make in makers:
         train, ev = (p.mapInPandas(make, "key long, rep long, m1 long, m2 long").alias(name) for p, name in zip(parts, ("train", "eval"), strict=True))
         near = (F.col("train.key") == F.col("eval.key")) & (agreeing(F.col("train.m1"), F.col("eval.m1")) + agreeing(F.col("train.m2"), F.col("eval.m2")) >= AGREEING)
         met = ev.join(train, near).select(F.col("eval.rep").alias("rep_eval"), F.col("train.rep").alias("rep_train"))
-        spans = met if spans is None else spans.unionByName(met)
-    spans = spans.groupBy("rep_eval", "rep_train").agg(F.count("*").alias("spans"))
-    spans = stored(spans, "p1-spans")
+        spans = spans.unionByName(met)
+    spans = stored(spans.distinct(), "p1-spans")
     left = reps[1].select("tbl", F.col("rep").alias("rep_eval"), F.col("plain").alias("a"))
     right = reps[0].select("tbl", F.col("rep").alias("rep_train"), F.col("plain").alias("b"))
     read = spans.join(left, "rep_eval").join(right, ["tbl", "rep_train"])
-    pairs = read.select("tbl", "rep_eval", "rep_train", "spans", likeness_of_plain("a", "b").alias("likeness"), "a", "b").where(F.col("likeness") >= threshold)
+    pairs = read.select("tbl", "rep_eval", "rep_train", likeness_of_plain("a", "b").alias("likeness"), "a", "b").where(F.col("likeness") >= threshold)
     pairs = pairs.select("tbl", "rep_eval", "rep_train", "likeness", span_coverage(span)("a", "b").alias("coverage"))
     members = keyed.select(*same, "id", "split", "source").distinct().join(reps[0].unionByName(reps[1]).select(*same, "rep"), same)
     return pairs, members.select("tbl", "side", "rep", "id", "split", "source")

@@ -62,6 +62,20 @@ def test_p1(spark, tables, pool, t0):
     assert {r["split"] for r in report} == {"development", "heldout"} and sum(r["leaked"] for r in report) > 0
 
 
+def test_p1_of_short_texts(spark, tables, t0):
+    rng = random.Random(9)
+    bases = [text(rng, n) for n in range(3, 61) for _ in range(2)]
+    texts = [*bases, *(t + "外" for t in bases), *(t[: len(t) // 2] + "丙" + t[len(t) // 2 + 1 :] for t in bases)]
+    texts += ["".join("丁" if k in (8, 18) else c for k, c in enumerate(t)) for t in bases if len(t) > 20]
+    texts += ["".join(c + "戊" if k % 9 == 8 else c for k, c in enumerate(t)) for t in bases if len(t) > 40]
+    texts += [bases[40] * 6, bases[-1] + text(rng, 30), "一二" * 60, "一二" * 2]
+    side = [rng.random() < 0.5 for _ in texts]
+    d = tables(qa_records=[(i, "s", "train" if s else "heldout", t, None, None, t0) for i, (s, t) in enumerate(zip(side, texts, strict=True))])
+    want = {("qa_records", i, j) for j in range(len(texts)) for i in range(j) if side[i] != side[j] and jaccard(texts[i], texts[j]) >= 0.6}
+    assert len(want) > 150
+    assert pairs(p1.p1_found(spark, d)) == want
+
+
 def test_p2(spark, tables, pool, t0):
     rows = [(i, "s", None, t, None if i % 7 == 0 else "答", None, t0) for i, t in enumerate(pool)]
     d = tables(qa_records=rows + rows[:9])
