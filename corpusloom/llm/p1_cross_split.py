@@ -9,15 +9,14 @@ neighbours with evaluation and training members is a shared span.  A neighbour c
 its text (32 four-bit minhash symbols), which drops pairs far from the bound before they leave the
 part.  Spans are merged per pair of records, and both texts of a pair are compared exactly.
 
-Runs that more than a COMMON-th of all texts hold (stock phrases; found on every SAMPLE-th text, so at
-most COMMON times the entries of a text) would pair everything with everything, and tell nothing:
-their entries are left out.  A text that loses a quarter of its entries in this way is compared by
-minhash anchors instead, as in problem 2, so that no pair depends on stock phrases only.
-
-A pair with a text of under SHORT characters may share no run of SPAN, so such pairs are met by an
-exact prefix filter on runs of three instead: under one order of all runs, rare ones first, two
-texts of the likeness share one of their first runs.  Texts that are too long to be like a short
-one do not enter it, and short texts do not enter the suffix array.  Equal plain forms of one split side are collapsed to one representative before any suffix is made, so a
+Runs that more than a COMMON-th of all texts hold (stock phrases; at most COMMON times the entries of
+a text) would pair everything with everything, and tell nothing: their entries are left out.  They
+are counted over all texts.  Every text that loses an entry in this way is met by minhash anchors
+too, as in problem 2, so that no pair depends on stock phrases only.
+
+Short pairs may share no run of SPAN, so pairs of texts of at most MOST distinct runs of three are met
+by an exact prefix filter on these: under one order of all of them, rare ones first, two texts of
+the likeness share one of their first.  The suffix array is for pairs with a longer text.  Equal plain forms of one split side are collapsed to one representative before any suffix is made, so a
 group of copies of any size costs one text.  Nulls, empty texts and texts without a letter or
 digit match nothing.
 """
@@ -28,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.forms import mix, to_codes, trigram_codes, window_hashes
@@ -41,11 +40,12 @@ SPARSITY = 2
 #: Of 32 four-bit symbols, so many agree at least: a likeness of 0.6 gives 20 +- 2.8.
 AGREEING = 10
 LIKENESS = 0.6
-#: Pairs with a text of under SHORT plain characters take the prefix filter.
-SHORT = 64
-#: Runs of three are ordered by the counts of so many buckets of them.
+#: Texts of under 64 plain characters have 61 runs of three at most, those like them 101 at most.
+MOST = 101
+#: Runs of three are ordered by the counts of so many buckets of them; stock runs lie in buckets that are hit often enough.
 BUCKETS = 1 << 16
-COMMON, SAMPLE, LEAST = 200, 64, 50
+#: Stock runs are counted on every SAMPLE-th text, that is on all; those of under LEAST texts are cheap to compare and stay.
+COMMON, SAMPLE, LEAST = 200, 1, 50
 BLOCKS, WIDTH = 8, 4
 
 
@@ -58,7 +58,7 @@ def split_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entries_of(plain: list[str], span: int, sparsity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row and key of every entry of a batch of plain forms of SHORT characters and more, each pair once; codes and starts."""
+    """Row and key of every entry of a batch of plain forms that can be like one of over MOST runs of three, each pair once; codes and starts."""
     codes, starts = to_codes(plain)
     lengths = np.diff(starts)
     rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
@@ -66,131 +66,120 @@ def entries_of(plain: list[str], span: int, sparsity: int) -> tuple[np.ndarray,
     if len(hashes):
         row = np.repeat(np.arange(len(plain)), lengths)[: len(hashes)]
         inside = np.arange(len(hashes)) + span <= starts[1:][row]
-        chosen = inside & (hashes % np.uint64(sparsity) == 0) & (lengths[row] >= SHORT)
+        chosen = inside & (hashes % np.uint64(sparsity) == 0) & (lengths[row] - 2 > LIKENESS * MOST)
         rows.append(row[chosen])
         keys.append(hashes[chosen])
     both = np.unique(np.rec.fromarrays([np.concatenate(rows), np.concatenate(keys).view(np.int64)], names="row,key"))
     return both.row, both.key, codes, starts
 
 
-def runs_of_three(plain: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row and hash of every run of three of a batch of plain forms, and the lengths of these."""
+def runs_of_three(plain: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of every run of three of a batch of plain forms."""
     codes, starts = to_codes(plain)
-    lengths = np.diff(starts)
     grams = mix(trigram_codes(codes))
-    row = np.repeat(np.arange(len(plain)), lengths)[: len(grams)]
+    row = np.repeat(np.arange(len(plain)), np.diff(starts))[: len(grams)]
     inside = np.arange(len(grams)) + 3 <= starts[1:][row]
-    return row[inside], grams[inside], lengths
-
+    return row[inside], grams[inside]
 
-def bucket_counts(texts: DataFrame) -> np.ndarray:
-    """How many runs of three of the texts (plain) fall into each bucket."""
-
-    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(BUCKETS, np.int64)
-        for df in batches:
-            total += np.bincount((runs_of_three(df["plain"].tolist())[1] % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": at, "n": total[at]})
 
-    got = texts.select("plain").mapInPandas(counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows
-    out = np.zeros(BUCKETS, np.int64)
-    out[got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-    return out
+def bucket_of(keys: np.ndarray) -> np.ndarray:
+    return (keys.view(np.uint64) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-PREFIX_SCHEMA = "key long, rep long, m1 long, m2 long, grams int, place int, short boolean"
+ENTRY = "key long, rep long, m1 long, m2 long, grams int"
 
 
-def prefix_entries(order: np.ndarray, threshold: float):
-    """The first runs of three, in the order of their buckets, of every text that can be like one of under SHORT characters.
+def prefix_entries(plain: list[str], part: np.ndarray, rep: np.ndarray, order: np.ndarray, threshold: float) -> pd.DataFrame:
+    """The first runs of three, in the order of their buckets, of every text of at most MOST.
 
     ``m1`` and ``m2`` hold the parity of the text's distinct runs in 128 classes: it differs between two
-    texts in no more places than they have runs of their own.
+    texts in no more places than they have runs of their own.  ``grams``: number of runs, and in the
+    lower bits the place of this one.
     """
-    most = int((SHORT - 3) / threshold + 1e-9)
+    row, gram = runs_of_three(plain)
+    rank = order[bucket_of(gram)]
+    at = np.lexsort((gram, rank, row))
+    row, gram = row[at], gram[at]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])
+    row, gram = row[new], gram[new]
+    grams = np.bincount(row, minlength=len(plain))
+    place = np.arange(len(row)) - (np.cumsum(grams) - grams)[row]
+    odd = np.bincount(row * 128 + (gram >> np.uint64(57)).astype(np.int64), minlength=len(plain) * 128).reshape(len(plain), 2, 64) & 1
+    marks = (odd.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(2, dtype=np.uint64).view(np.int64)
+    first = grams - np.ceil(threshold * grams - 1e-9).astype(np.int64) + 1
+    kept = (place < first[row]) & (grams[row] <= MOST)
+    row, gram, place = row[kept], gram[kept], place[kept]
+    return pd.DataFrame({"key": gram.view(np.int64) ^ part[row], "rep": rep[row], "m1": marks[row, 0], "m2": marks[row, 1], "grams": (grams[row] << 8 | place).astype(np.int32)})
+
+
+def can_be_like(a: str, b: str, threshold: float) -> Column:
+    """Of two entries with one key: their sketches agree, or their runs of three allow the likeness."""
+    agreed = agreeing(F.col(f"{a}.m1"), F.col(f"{b}.m1")) + agreeing(F.col(f"{a}.m2"), F.col(f"{b}.m2"))
+    apart = F.bit_count(F.col(f"{a}.m1").bitwiseXOR(F.col(f"{b}.m1"))) + F.bit_count(F.col(f"{a}.m2").bitwiseXOR(F.col(f"{b}.m2")))
+    x, y = (F.shiftright(f"{k}.grams", 8) for k in (a, b))
+    left = F.least(*(F.shiftright(f"{k}.grams", 8) - F.col(f"{k}.grams").bitwiseAND(F.lit(255)) for k in (a, b)))  # common runs at most, from the first common one on
+    short = (x > 0) & (y > 0) & (apart * (1 + threshold) <= (x + y) * (1 - threshold) + 1e-6) & (left * (1 + threshold) >= (x + y) * threshold - 1e-6)
+    return ((x == 0) & (y == 0) & (agreed >= AGREEING)) | short
+
+
+def entries_maker(span: int, sparsity: int, common: np.ndarray, order: np.ndarray, threshold: float):
+    """Everything by which a text is met: part key, representative, sketch, and place and number of its runs for the prefix filter."""
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            row, gram, lengths = runs_of_three(df["plain"].tolist())
-            rank = order[(gram % np.uint64(BUCKETS)).astype(np.int64)]
-            at = np.lexsort((gram, rank, row))
-            row, gram = row[at], gram[at]
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])
-            row, gram = row[new], gram[new]
-            grams = np.bincount(row, minlength=len(df))
-            place = np.arange(len(row)) - (np.cumsum(grams) - grams)[row]
-            odd = np.bincount(row * 128 + (gram >> np.uint64(57)).astype(np.int64), minlength=len(df) * 128).reshape(len(df), 2, 64) & 1
-            marks = (odd.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(2, dtype=np.uint64).view(np.int64)
-            first = grams - np.ceil(threshold * grams - 1e-9).astype(np.int64) + 1
-            kept = (place < first[row]) & (grams[row] <= most)
-            row, gram, place = row[kept], gram[kept], place[kept]
-            yield pd.DataFrame({"key": gram.view(np.int64) ^ df["part"].to_numpy()[row], "rep": df["rep"].to_numpy()[row], "m1": marks[row, 0], "m2": marks[row, 1], "grams": grams[row], "place": place, "short": lengths[row] < SHORT})
-
-    return entries
-
-
-def short_pairs(parts: list[DataFrame], threshold: float) -> DataFrame:
-    """rep_eval, rep_train of all pairs of (rep, part, plain) of train and evaluation that can have the likeness and hold a short text."""
-    order = bucket_counts(parts[0].unionByName(parts[1]))
-    tr, ev = (p.mapInPandas(prefix_entries(order, threshold), PREFIX_SCHEMA).alias(name) for p, name in zip(parts, ("train", "eval"), strict=True))
-    x, y, both = F.col("eval.grams"), F.col("train.grams"), F.col("eval.grams") + F.col("train.grams")
-    apart = F.bit_count(F.col("eval.m1").bitwiseXOR(F.col("train.m1"))) + F.bit_count(F.col("eval.m2").bitwiseXOR(F.col("train.m2")))
-    left = F.least(x - F.col("eval.place"), y - F.col("train.place"))  # common runs at most, from the first common one on
-    can = (left * (1 + threshold) >= both * threshold - 1e-6) & (apart * (1 + threshold) <= both * (1 - threshold) + 1e-6)
-    met = ev.join(tr, (F.col("eval.key") == F.col("train.key")) & (F.col("eval.short") | F.col("train.short")) & can)
-    return met.select(F.col("eval.rep").alias("rep_eval"), F.col("train.rep").alias("rep_train"))
-
-
-def suffix_entries(span: int, sparsity: int, common: np.ndarray):
-    """Entries of the sparse suffix array: part key, representative and sketch of every chosen suffix."""
-
-    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            row, key, codes, starts = entries_of(df["plain"].tolist(), span, sparsity)
+            plain, part, rep = df["plain"].tolist(), df["part"].to_numpy(), df["rep"].to_numpy()
+            yield prefix_entries(plain, part, rep, order, threshold)
+            row, key, codes, starts = entries_of(plain, span, sparsity)
             if not len(row):
                 continue
-            symbols = minhash_symbols(codes, starts, 32)
-            m1, m2 = four_bit_marks(symbols[:16]), four_bit_marks(symbols[16:])
-            key = key ^ df["part"].to_numpy()[row]
-            rare = ~np.isin(key, common)
-            row, key = row[rare], key[rare]
-            yield pd.DataFrame({"key": key, "rep": df["rep"].to_numpy()[row], "m1": m1[row], "m2": m2[row]})
+            symbols = minhash_symbols(codes, starts, BLOCKS * WIDTH)
+            m1, m2 = four_bit_marks(symbols[:16]), four_bit_marks(symbols[16:32])
+            key = key ^ part[row]
+            hot = np.isin(key, common)
+            lost = np.unique(row[hot])
+            row, key = row[~hot], key[~hot]
+            if len(lost):
+                anchors = block_anchors(symbols[:, lost], BLOCKS, WIDTH) ^ part[lost][:, None]
+                row, key = np.concatenate([row, np.repeat(lost, anchors.shape[1])]), np.concatenate([key, anchors.ravel()])
+            yield pd.DataFrame({"key": key, "rep": rep[row], "m1": m1[row], "m2": m2[row], "grams": np.int32(0)})
 
     return entries
 
 
-def anchors_of_stock_texts(span: int, sparsity: int, common: np.ndarray):
-    """Minhash anchors of the texts that lose a quarter of their entries to common runs."""
+def run_counts(span: int, sparsity: int, texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How many runs of three of the texts (part, plain), and how many of their entries, fall into each bucket."""
 
-    def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(2 * BUCKETS, np.int64)
         for df in batches:
-            row, key, _, _ = entries_of(df["plain"].tolist(), span, sparsity)
-            hot = np.isin(key ^ df["part"].to_numpy()[row], common)
-            most = np.bincount(row, minlength=len(df))
-            lost = df[(np.bincount(row, hot, minlength=len(df)) * 4 >= most) & (most > 0)]
-            if lost.empty:
-                continue
-            codes, starts = to_codes(lost["plain"].tolist())
-            symbols = minhash_symbols(codes, starts, BLOCKS * WIDTH)
-            keys = block_anchors(symbols, BLOCKS, WIDTH) ^ lost["part"].to_numpy()[:, None]
-            at = np.repeat(np.arange(len(lost)), keys.shape[1])
-            yield pd.DataFrame({"key": keys.ravel(), "rep": lost["rep"].to_numpy()[at], "m1": four_bit_marks(symbols[:16])[at], "m2": four_bit_marks(symbols[16:32])[at]})
+            plain = df["plain"].tolist()
+            total[:BUCKETS] += np.bincount(bucket_of(runs_of_three(plain)[1]), minlength=BUCKETS)
+            row, key, _, _ = entries_of(plain, span, sparsity)
+            total[BUCKETS:] += np.bincount(bucket_of(key ^ df["part"].to_numpy()[row]), minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"bucket": at, "n": total[at]})
 
-    return anchors
+    got = texts.mapInPandas(counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most 2 * BUCKETS rows
+    out = np.zeros(2 * BUCKETS, np.int64)
+    out[got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    return out[:BUCKETS], out[BUCKETS:]
 
 
-def common_keys(sample: DataFrame, span: int, sparsity: int) -> np.ndarray:
-    """Keys of the runs that more than a COMMON-th of the sampled texts (part, plain) hold, at least LEAST of them."""
+def common_keys(texts: DataFrame, often: float, hits: np.ndarray, span: int, sparsity: int) -> np.ndarray:
+    """Keys of the runs that at least ``often`` of the texts (part, plain) hold; ``hits`` are the entries in each bucket."""
+    hot = hits >= often
+    if not hot.any():
+        return np.zeros(0, np.int64)
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             row, key, _, _ = entries_of(df["plain"].tolist(), span, sparsity)
-            yield pd.DataFrame({"key": key ^ df["part"].to_numpy()[row]})
+            key = key ^ df["part"].to_numpy()[row]
+            key, n = np.unique(key[hot[bucket_of(key)]], return_counts=True)
+            yield pd.DataFrame({"key": key, "n": n})
 
-    often = max(LEAST, sample.count() / COMMON)
-    counted = sample.mapInPandas(keys, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= often)
+    counted = texts.mapInPandas(keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= often)
     return np.sort(counted.select("key").toPandas()["key"].to_numpy(np.int64))  # at most COMMON times the entries of a text
 
 
@@ -205,15 +194,14 @@ def cross_split_overlaps(texts: DataFrame, span: int = SPAN, sparsity: int = SPA
     same = ["tbl", "side", "h", "g"]
     reps = [keyed.where(F.col("side") == side).groupBy(*same).agg(F.min("id").alias("rep"), F.first("plain").alias("plain")).where("length(plain) >= 3") for side in (0, 1)]
     parts = [r.select("rep", F.xxhash64("tbl").alias("part"), "plain") for r in reps]
-    sample = keyed.where(F.pmod("h", F.lit(SAMPLE)) == 0).dropDuplicates(same).select(F.xxhash64("tbl").alias("part"), "plain")
-    common = common_keys(stored(sample, "p1-sample"), span, sparsity)
-    makers = [suffix_entries(span, sparsity, common)] + ([anchors_of_stock_texts(span, sparsity, common)] if len(common) else [])
-    spans = short_pairs(parts, threshold)
-    for make in makers:
-        train, ev = (p.mapInPandas(make, "key long, rep long, m1 long, m2 long").alias(name) for p, name in zip(parts, ("train", "eval"), strict=True))
-        near = (F.col("train.key") == F.col("eval.key")) & (agreeing(F.col("train.m1"), F.col("eval.m1")) + agreeing(F.col("train.m2"), F.col("eval.m2")) >= AGREEING)
-        met = ev.join(train, near).select(F.col("eval.rep").alias("rep_eval"), F.col("train.rep").alias("rep_train"))
-        spans = spans.unionByName(met)
+    texts = parts[0].unionByName(parts[1])
+    counted = texts.where(F.pmod(F.xxhash64("plain"), F.lit(SAMPLE)) == 0)
+    order, hits = run_counts(span, sparsity, counted)
+    common = common_keys(counted, max(LEAST, counted.count() / COMMON), hits, span, sparsity)
+    make = entries_maker(span, sparsity, common, order, threshold)
+    train, ev = (p.mapInPandas(make, ENTRY).alias(name) for p, name in zip(parts, ("train", "eval"), strict=True))
+    met = ev.join(train, (F.col("train.key") == F.col("eval.key")) & can_be_like("eval", "train", threshold))
+    spans = met.select(F.col("eval.rep").alias("rep_eval"), F.col("train.rep").alias("rep_train"))
     spans = stored(spans.distinct(), "p1-spans")
     left = reps[1].select("tbl", F.col("rep").alias("rep_eval"), F.col("plain").alias("a"))
     right = reps[0].select("tbl", F.col("rep").alias("rep_train"), F.col("plain").alias("b"))

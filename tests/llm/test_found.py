@@ -220,3 +220,20 @@ def test_p1_with_a_stock_phrase(spark, tables, t0, monkeypatch):
     want = {("qa_records", i, j) for i in range(120) for j in range(i + 1, 120) if (i + j) % 2 and jaccard(texts[i], texts[j]) >= 0.6}
     assert len(want) > 100
     assert pairs(p1.p1_found(spark, tables(qa_records=rows))) == want
+
+
+def test_p1_with_few_stock_runs(spark, tables, t0):
+    """Pairs whose only common runs of 10 are stock, and few of their entries, are found on small and large pools."""
+    rng = random.Random(11)
+    phrase = text(rng, 20)
+    texts = []
+    for n, marks in ((60, (20, 30, 40, 50)), (130, range(20, 130, 10))):
+        for _ in range(6):
+            base = phrase + text(rng, n - 20)
+            texts += [base, "".join("丁" if k in marks else c for k, c in enumerate(base))]
+    texts += [phrase + text(rng, 130) for _ in range(100)] + [phrase + text(rng, 70) for _ in range(4400)]
+    for some in (texts[:124], texts):
+        d = tables(qa_records=[(i, "s", "train" if i % 2 else "heldout", t, None, None, t0) for i, t in enumerate(some)])
+        want = {("qa_records", i, i + 1) for i in range(0, 24, 2) if jaccard(texts[i], texts[i + 1]) >= 0.6}
+        assert len(want) >= 6
+        assert pairs(p1.p1_found(spark, d)) == want
