@@ -211,11 +211,7 @@ def overall_best(spark, d):
 @query("agg_07_nearest", f"SELECT x.id AS a, arg_max(y.id, {_SIM}) AS b, round(max({_SIM}), 6) AS score FROM {VEC} x JOIN {VEC} y ON x.id % 50 = 0 AND y.label <> x.label GROUP BY 1")
 def nearest(spark, d):
     v = _vectors(spark, d)
-    q = v.where("id % 50 = 0")
-    top = J.cosine_nearest(q, v, 200).select("a", "b", "score")
-    labels = v.select("id", "label")
-    cross = top.join(labels.select(F.col("id").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b").where("la <> lb")
-    return J.nearest(cross.select("a", "b", "score")).withColumn("score", F.round("score", 6))
+    return J.cosine_nearest(v.where("id % 50 = 0"), v, 1, other="label").select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query("agg_08_near_pairs", f"SELECT CAST(count(*) AS BIGINT) AS near FROM {RL_EDGES} WHERE score >= 0.8")

@@ -228,3 +228,12 @@ def test_numbered_lines_over_several_splits(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert len(rows) == 2000 and all(int(r["value"]) == r["line"] for r in rows)
+
+
+def test_nearest_of_another_label_behind_many_of_its_own(spark, tmp_path):
+    from corpusloom.plans import catalog
+
+    rows = [(i, "hot", [1.0, i / 1000]) for i in range(300)] + [(300, "rare", [0.1, 0.0]), (301, None, [9.0, 9.0])]
+    spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r["a"]: r["b"] for r in catalog.queries()["agg_07_nearest"](spark, str(tmp_path)).collect()}
+    assert got == {a: 300 for a in range(0, 300, 50)} | {300: 0}
