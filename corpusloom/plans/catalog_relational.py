@@ -513,6 +513,13 @@ def leakage(spark, d):
     return e.select(F.col("a").alias("id")).distinct()
 
 
+@query("ded_03_leakage_any")
+def leakage_any(spark, d):
+    """Leaks by query or pair, exact or near; ded_03_leakage has the near queries alone, as its SQL."""
+    n = _normed(spark, d).select(F.col("record_id").alias("id"), "split", "query_norm", "pair_norm")
+    return D.leaked(n.where("split in ('development', 'heldout')"), n.where("split = 'train'"), 0.9, 0.9, 5)
+
+
 @query("ded_04_semantic", f"SELECT a, b, round(score, 6) AS score FROM (SELECT x.id AS a, y.id AS b, {_SIM} AS score FROM {VEC} x JOIN {VEC} y ON x.id % 50 = 0 AND x.id <> y.id) QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) = 1 AND score >= 0.4")
 def semantic(spark, d):
     v = _vectors(spark, d)

@@ -237,3 +237,31 @@ def test_nearest_of_another_label_behind_many_of_its_own(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = {r["a"]: r["b"] for r in catalog.queries()["agg_07_nearest"](spark, str(tmp_path)).collect()}
     assert got == {a: 300 for a in range(0, 300, 50)} | {300: 0}
+
+
+def _leak_rows():
+    answer = "请先观察舌面颜色留意睡眠记录每晚入睡钟点再看趋势平时注意饮食清淡少油少盐多走动"
+    q = "头晕已经三天了口干明显该怎么办才好呢需要看医生吗"
+    texts = [(q, "甲"), (q[:-1] + "乙", answer + answer), ("", answer), (None, answer), ("无关的问题", None), ("丙" + q[1:], "丁"), ("另一段很长的话与它们没有一点关系", answer), (q, answer)]
+    return [(i, a, None if a is None or b is None else a + "␟" + b) for i, (a, b) in enumerate(texts)]
+
+
+def _near(a, b, n, threshold):
+    x, y = ({t[i : i + n] for i in range(max(1, len(t) - n + 1))} for t in (a or "", b or ""))
+    return bool(a and b) and len(x & y) / len(x | y) >= threshold
+
+
+def test_leaks_by_query_or_pair(spark):
+    rows = _leak_rows()
+    answer = rows[2][2][1:]
+    left = [(100 + i, a, p) for i, a, p in rows] + [(200, "头痛已经三天", "头痛已经三天␟" + answer * 2), (201, "", "␟" + answer), (202, "", "␟别的")]
+    right = rows + [(9, "头晕已经三天", "头晕已经三天␟" + answer * 2)]
+    schema = "id long, query_norm string, pair_norm string"
+    a, b = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
+    hit = lambda x, y, n: (x[1] is not None and x[1] == y[1]) or (x[2] is not None and x[2] == y[2]) or _near(x[1], y[1], n, 0.9) or _near(x[2], y[2], n, 0.9)
+    got = {r["id"] for r in dedup.leaked(a, b, 0.9, 0.9, 5).collect()}
+    assert got == {x[0] for x in left if any(hit(x, y, 5) for y in right)} and 200 in got
+    right = [r for r in right if r[1] != ""]  # an empty query, found by its pair only
+    right.append((10, "x", "␟" + answer))
+    got = {r["id"] for r in dedup.leaked(a, spark.createDataFrame(right, schema), 0.9, 0.9, 5).collect()}
+    assert got == {x[0] for x in left if any(hit(x, y, 5) for y in right)} and 201 in got and 202 not in got
