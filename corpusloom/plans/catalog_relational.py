@@ -538,3 +538,10 @@ def first_match(spark, d):
     a, b = n.where("split = 'heldout'").alias("a"), n.where("split = 'train'").alias("b")
     pairs = a.join(b, F.col("a.head") == F.col("b.head")).select(F.col("a.record_id").alias("a"), F.col("b.record_id").alias("order"), (F.col("a.query_norm") == F.col("b.query_norm")).alias("query_equal"), (F.col("a.pair_norm") == F.col("b.pair_norm")).alias("pair_equal"), F.lit(True).alias("near"))
     return D.first_match_flags(pairs)
+
+
+@query("ded_06_overlap_counts")
+def overlap_counts(spark, d):
+    """Counts over whole texts; ded_06_first_match compares the first 30 characters, as its SQL."""
+    n = _normed(spark, d).select(F.col("record_id").alias("id"), "split", "query_norm", "pair_norm")
+    return D.overlap_counts(n.where("split = 'heldout'"), n.where("split = 'train'"), 0.95, 0.9, 3)

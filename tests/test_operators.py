@@ -265,3 +265,25 @@ def test_leaks_by_query_or_pair(spark):
     right.append((10, "x", "␟" + answer))
     got = {r["id"] for r in dedup.leaked(a, spark.createDataFrame(right, schema), 0.9, 0.9, 5).collect()}
     assert got == {x[0] for x in left if any(hit(x, y, 5) for y in right)} and 201 in got and 202 not in got
+
+
+def test_overlap_counts_over_whole_texts(spark):
+    rows = _leak_rows()
+    long = rows[0][1] * 4
+    right = [*rows, (20, long, long + "␟甲"), (21, long, long + "␟甲"), (22, long[:40] + "别" * 60, "x␟y")]
+    left = [(100 + i, a, p) for i, a, p in rows] + [(120, "改" + long[1:], long + "␟甲"), (121, long[:30] + "末" * 90, "末␟末"), (122, "z", long + "␟甲"), (123, long + "改", "w␟w")]
+    want = {"exact_query": 0, "exact_pair": 0, "near_query": 0, "near_pair": 0, "any_match": 0}
+    for x in left:
+        query = any(x[1] is not None and x[1] == y[1] for y in right)
+        want["exact_query"] += query
+        want["exact_pair"] += not query and any(x[2] is not None and x[2] == y[2] for y in right)
+        for y in sorted(right):
+            q, p = _near(x[1], y[1], 3, 0.95), _near(x[2], y[2], 3, 0.9)
+            if q or p:
+                want["near_query"] += q
+                want["near_pair"] += p
+                want["any_match"] += 1
+                break
+    schema = "id long, query_norm string, pair_norm string"
+    got = dedup.overlap_counts(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), 0.95, 0.9, 3).collect()
+    assert [r.asDict() for r in got] == [want] and want["near_query"] and want["near_pair"] > want["near_query"] - want["any_match"]
