@@ -6,6 +6,9 @@ version, one equal to a neighbour with a closing mark is whole.  Lengths at whic
 pile up are length limits.  Then the rules for empty, copied, refusing, foreign and broken-off
 answers are applied in that order; no answer gets two types.
 
+Unclosed lists of short items and short answers, which the rules call whole, are truncated if a longer
+answer to the same question goes on from them; figures are not.
+
 Null answers are empty; a null question has no language and is copied by nothing.  Repeats of a
 record count once.  Bare figures and lists of short items are whole without a closing mark.
 """
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.forms import plain, to_codes
@@ -155,6 +158,14 @@ def is_cut(answer: str, whole_neighbour: bool) -> bool:
     return not whole_neighbour and last_clause(stripped) not in FAREWELLS
 
 
+def is_open_list(answer: str, found: str | None) -> bool:
+    """Called whole by the rules only because it is short or a list of short items."""
+    if found is not None or not ends_open(answer):
+        return False
+    s = _INVISIBLE.sub("", answer).strip()
+    return is_bare(s) and not re.fullmatch(r"[\d\s.,:%/+\-]+", s)
+
+
 def defect_of(question: str | None, answer: str | None, q: str, a: str, same_script: bool) -> str | None:
     """empty, copied_question, refusal, other_language, truncated, or None; q and a are the plain forms."""
     if is_empty(a):
@@ -191,7 +202,7 @@ def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q_forms, a_forms = plain_texts(qs), plain_texts(answers)
         same = mostly_han(qs) & mostly_han(answers)
         found = [defect_of(*row) for row in zip(qs, answers, q_forms, a_forms, same, strict=True)]
-        yield pd.DataFrame({"tbl": df["tbl"], "row_id": df["row_id"], "defect": found, "chars": [len(a or "") for a in answers], "prefix": [a[:KEY] for a in a_forms], "form": a_forms})
+        yield pd.DataFrame({"tbl": df["tbl"], "row_id": df["row_id"], "defect": found, "chars": [len(a or "") for a in answers], "prefix": [a[:KEY] for a in a_forms], "form": a_forms, "asked": q_forms, "bare": [is_open_list(a or "", d) for a, d in zip(answers, found, strict=True)]})
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,14 +226,26 @@ def judge_neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame([] if last is None else [(*last, False)], columns=names)
 
 
+def shortened_lists(judged: DataFrame) -> DataFrame:
+    """tbl, row_id of the bare answers from which the next form of an answer to the same question goes on.
+
+    Sorted, the forms that begin with a form stand right behind it.  Empty questions are no question.
+    """
+    named = judged.where("asked <> '' and form <> ''").withColumn("q", F.xxhash64("asked"))
+    wanted = named.where("bare").select("q", "asked").distinct()
+    forms = named.join(wanted, ["q", "asked"], "left_semi").groupBy("q", "asked", "form").agg(F.bool_or("bare").alias("some_bare"))
+    following = forms.withColumn("next", F.lead("form").over(Window.partitionBy("q", "asked").orderBy("form"))).where(F.col("some_bare") & F.startswith("next", F.col("form")))
+    return named.where("bare").join(following.select("q", "asked", "form"), ["q", "asked", "form"]).select("tbl", "row_id").distinct()
+
+
 def broken_pairs(answers: DataFrame) -> DataFrame:
     """tbl, row_id, defect, shortened (its sorted neighbour goes on from it), at_limit (its length is a spike of unclosed lengths).
 
-    ``answers``: tbl, row_id, question, answer.  Only answers that the rules call truncated depend on
-    neighbours.  Their first KEY plain characters select the answers to sort, all of them by their
+    ``answers``: tbl, row_id, question, answer.  Only answers that the rules call truncated, and bare
+    ones, depend on neighbours.  Their first KEY plain characters select the answers to sort, all of them by their
     whole plain forms.
     """
-    judged = stored(answers.select("tbl", "row_id", "question", "answer").mapInPandas(judge, "tbl string, row_id long, defect string, chars int, prefix string, form string"), "p3-judged")
+    judged = stored(answers.select("tbl", "row_id", "question", "answer").mapInPandas(judge, "tbl string, row_id long, defect string, chars int, prefix string, form string, asked string, bare boolean"), "p3-judged")
     suspect = F.coalesce(F.col("defect") == "truncated", F.lit(False))
     wanted = judged.where(suspect).select("prefix").distinct()
     around = judged.select("prefix", "form", suspect.alias("suspect")).join(wanted, "prefix", "left_semi")
@@ -235,7 +258,8 @@ def broken_pairs(answers: DataFrame) -> DataFrame:
     spikes = lengths.join(usual, "tbl").where("n >= 8 and n > 6 * usual").select("tbl", "chars", F.lit(True).alias("at_limit"))
     cut = known.where("not whole").join(spikes, ["tbl", "chars"], "left").select("tbl", "row_id", F.lit("truncated").alias("defect"), "shortened", F.coalesce("at_limit", F.lit(False)).alias("at_limit"))
     other = judged.where("defect <> 'truncated'").select("tbl", "row_id", "defect", F.lit(False).alias("shortened"), F.lit(False).alias("at_limit")).distinct()
-    return other.unionByName(cut)
+    bare = shortened_lists(judged).select("tbl", "row_id", F.lit("truncated").alias("defect"), F.lit(True).alias("shortened"), F.lit(False).alias("at_limit"))
+    return other.unionByName(cut).unionByName(bare)
 
 
 #: Answers whose plain forms share their first KEY characters can be shortened versions of one another.
