@@ -78,7 +78,7 @@ def is_copy(q: str, a: str) -> bool:
 
 def is_refusal(answer: str) -> bool:
     """Only declines, in clauses of courtesy and refusal and nothing else."""
-    if len(answer) > 240 or not _DECLINES.search(answer):
+    if not _DECLINES.search(answer):
         return False
     if len(re.findall(r"[A-Za-z]", answer)) > len(answer) // 2:
         declines = 0

@@ -134,6 +134,11 @@ def test_defect_of_one_pair(question, answer, kind):
     assert p3.defect(question, answer) == kind
 
 
+def test_a_wordy_refusal():
+    assert p3.is_refusal("抱歉，我无法回答这个问题，还望理解。" * 24)
+    assert not p3.is_refusal("抱歉，我无法回答这个问题，还望理解。" * 24 + "请先观察舌面颜色。")
+
+
 def test_p3(spark, tables, t0):
     rows = [(i, "s", None, q, a, None, t0) for i, (q, a, _) in enumerate(CASES)]
     whole = "请先观察舌面颜色，留意睡眠，记录每晚入睡钟点，再看趋势"
