@@ -150,14 +150,6 @@ def test_p3(spark, tables, t0):
     assert judged[102]["shortened"] and judged[102]["defect"] == "truncated"
 
 
-def test_p3_of_lists_and_short_answers_cut(spark, tables, t0):
-    other = "夜里醒来两次怎么办？"
-    answers = [(Q, "请先观察舌"), (Q, "请先观察舌面颜色，留意睡眠。"), (Q, "手腕；鼻翼"), (Q, "手腕；鼻翼；后颈；肩"), (other, "手腕；鼻翼"), (other, "请先观察舌面颜色"), ("3+7=?", "10"), ("3+7=?", "100 减 90。"), (None, "请先观察舌")]
-    d = tables(qa_records=[(i, "s", None, q, a, None, t0) for i, (q, a) in enumerate(answers)])
-    got = {(i, k) for _, i, k in pairs(p3.p3_found(spark, d))}
-    assert got == {(0, "truncated"), (2, "truncated"), (5, "truncated")}
-
-
 def test_p4(spark, tables, t0):
     qs = ["Ａ口干，", "A⼝干,", "A口干,", "a口干,", "A 口干,", None, "x", "x", "", "​"]
     api = [(100, "A口干,"), (101, "A​口干，"), (102, None)]
