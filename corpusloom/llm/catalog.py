@@ -41,5 +41,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The other queries are tested against brute force, round trips and a public implementation in tests/llm."""
-    names = ("p1_found", "p2_found", "p4_found", "p5_found", "p5_collapsed", "p6_found", "p6_clean")
+    names = ("p1_found", "p1_report", "p2_found", "p4_found", "p5_found", "p5_collapsed", "p6_found", "p6_clean")
     return {n: getattr(oracles, n)() for n in names}

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-from corpusloom.llm.forms import plain, plain_codes, to_codes, window_hashes
+from corpusloom.llm.forms import plain, plain_codes
 
 
 def trigrams(text: str) -> set[str]:
@@ -39,32 +39,9 @@ def likeness_of_plain(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaccard(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
 
-def shared_share(a: str, b: str, span: int) -> float:
-    """Share of a's characters that lie in spans of at least ``span`` characters standing in b too."""
-    if not a:
-        return 0.0
-    if len(a) < span or len(b) < span:
-        return float(a in b)
-    codes, _ = to_codes([a, b])
-    x, y = window_hashes(codes[: len(a)], span), window_hashes(codes[len(a) :], span)
-    hit = np.isin(x, y)
-    covered = np.zeros(len(a) + 1, np.int64)
-    covered[: len(x)] += hit
-    covered[span : span + len(x)] -= hit
-    return float((np.cumsum(covered[:-1]) > 0).mean())
-
-
-def span_coverage(span: int):
-    @F.pandas_udf(DoubleType())
-    def coverage(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([shared_share(x or "", y or "", span) for x, y in zip(a, b, strict=True)])
-
-    return coverage
-
-
 def likeness(a: Column, b: Column) -> Column:
     """Likeness of two raw texts."""
     return likeness_of_plain(plain_column(a), plain_column(b))
 
 
-__all__ = ["jaccard", "likeness", "likeness_of_plain", "plain", "plain_column", "plain_texts", "shared_share", "span_coverage", "trigrams"]
+__all__ = ["jaccard", "likeness", "likeness_of_plain", "plain", "plain_column", "plain_texts", "trigrams"]

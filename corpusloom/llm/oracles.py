@@ -68,6 +68,24 @@ UNION ALL SELECT 'chat_samples', sample_id, split <> 'train', {plain_sql("list_f
     return _pairs_sql(texts, "a.ev AND NOT b.ev", "c.tbl, least(c.a, c.b) AS id_a, greatest(c.a, c.b) AS id_b")
 
 
+def p1_report() -> str:
+    """Likeness by an inverted index, coverage by the windows of ten characters that training texts hold too."""
+    human = plain_sql("list_filter(coalesce(conversations, []), lambda t: t.\"from\" = 'human')[1].value")
+    return f"""
+WITH r AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT 'qa_records' AS tbl, record_id AS id, split, source, {plain_sql('query')} AS plain FROM qa_records
+UNION ALL SELECT 'chat_samples', sample_id, split, source, {human} FROM chat_samples) WHERE split IN ('train', 'development', 'heldout') AND plain <> ''),
+t AS MATERIALIZED (SELECT tbl, split <> 'train' AS ev, plain, row_number() OVER (ORDER BY tbl, split <> 'train', plain) AS id FROM r GROUP BY ALL),
+g AS MATERIALIZED (SELECT DISTINCT tbl, id, ev, substring(plain, i, 3) AS gram FROM (SELECT *, unnest(range(1, CAST(length(plain) AS BIGINT) - 1)) AS i FROM t WHERE length(plain) >= 3)),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY 1),
+c AS (SELECT a.id AS a, b.id AS b, count(*) AS s FROM g a JOIN g b ON a.tbl = b.tbl AND a.gram = b.gram AND a.ev AND NOT b.ev GROUP BY 1, 2),
+l AS (SELECT a AS id, count(*) AS links FROM c JOIN n x ON x.id = c.a JOIN n y ON y.id = c.b WHERE s >= 0.6 * (x.n + y.n - s) - 1e-9 GROUP BY 1),
+w AS MATERIALIZED (SELECT DISTINCT tbl, id, ev, i, substring(plain, i, 10) AS gram FROM (SELECT *, unnest(range(1, CAST(length(plain) AS BIGINT) - 8)) AS i FROM t WHERE length(plain) >= 10)),
+h AS (SELECT id, i FROM w WHERE ev AND (tbl, gram) IN (SELECT tbl, gram FROM w WHERE NOT ev)),
+v AS (SELECT id, count(DISTINCT i + k) AS covered FROM h, range(0, 10) AS u(k) GROUP BY 1)
+SELECT r.tbl, r.split, r.source, count(*) AS records, count(*) FILTER (links > 0) AS leaked, CAST(coalesce(sum(links), 0) AS BIGINT) AS train_texts, count(*) FILTER (coalesce(covered, 0) / length(r.plain) >= 0.8) AS contained, round(avg(coalesce(covered, 0) / length(r.plain)), 6) AS mean_coverage
+FROM r JOIN t ON t.tbl = r.tbl AND t.ev AND t.plain = r.plain LEFT JOIN l ON l.id = t.id LEFT JOIN v ON v.id = t.id WHERE r.split <> 'train' GROUP BY 1, 2, 3"""
+
+
 def p2_found() -> str:
     both = plain_sql("coalesce(query, '')") + " || " + plain_sql("coalesce(response, '')")
     texts = f"SELECT 'qa' AS tbl, record_id AS id, true AS ev, {both} AS plain FROM qa_records GROUP BY ALL"

@@ -1,24 +1,29 @@
 """Problem 1: the same or nearly the same records across splits, by a distributed suffix array.
 
-The texts' plain forms are taken as one concatenated string, cut at record ends.  Its suffix array
-is built sparsely and in parts: a suffix enters if the hash of its first SPAN characters is 0
-modulo SPARSITY (a choice that depends on the text alone, so that a shared span has the same
-entries on both sides), and it is sent to the part of that hash.  Inside a part, the sort brings
-suffixes with a common prefix of at least SPAN characters next to one another; each run of such
-neighbours with evaluation and training members is a shared span.  A neighbour carries a sketch of
-its text (32 four-bit minhash symbols), which drops pairs far from the bound before they leave the
-part.  Spans are merged per pair of records, and both texts of a pair are compared exactly.
-
-Runs that more than a COMMON-th of all texts hold (stock phrases; at most COMMON times the entries of
-a text) would pair everything with everything, and tell nothing: their entries are left out.  They
-are counted over all texts.  Every text that loses an entry in this way is met by minhash anchors
-too, as in problem 2, so that no pair depends on stock phrases only.
-
-Short pairs may share no run of SPAN, so pairs of texts of at most MOST distinct runs of three are met
-by an exact prefix filter on these: under one order of all of them, rare ones first, two texts of
-the likeness share one of their first.  The suffix array is for pairs with a longer text.  Equal plain forms of one split side are collapsed to one representative before any suffix is made, so a
-group of copies of any size costs one text.  Nulls, empty texts and texts without a letter or
-digit match nothing.
+The texts' plain forms are one concatenated string, cut at record ends.  Its suffixes are shuffled to
+ranges of their first characters (splitters from a sample of them), sorted by their first characters
+inside, and scanned once: neighbours with a common prefix form an interval, and every interval with
+suffixes of both split sides is a span that evaluation and training texts share.
+
+*Pairs* (``p1_found``) come from a sparse array that is exact.  Its positions are those of the rarest
+runs of three of each text: with n distinct runs, ordered by their counts over all texts, the first
+n - ceil(0.6 n) + 1.  Two texts of a likeness of 0.6 then hold a common run among these positions of
+both, so they stand in one interval of common prefixes of three characters or more.  Inside an
+interval a pair is dropped only if it cannot reach the likeness: by its numbers of runs, by the
+places of the common run in both orders, or by the parities of the runs in 128 classes (two texts
+differ in no more classes than they have runs of their own).  What is left is compared exactly.
+Stock phrases stand last in every text's order, so they take part only in texts that hardly hold
+anything else.  An interval of more than CELL suffixes is cut into a grid of cells of that size on
+a side, which lie in different parts; no interval is capped.
+
+*Spans* (``p1_report``) come from the full array: every evaluation suffix is compared with its
+neighbour among the training suffixes; common prefixes of at least SPAN characters are merged per
+record, and the coverage of a record is the share of its characters in the union.  An evaluation text
+inside a much longer training text is covered, though it is like no training text.
+
+Equal plain forms of one split side are collapsed to one representative before any suffix is made, so
+a group of copies of any size costs one text.  Nulls and texts without a letter or digit match
+nothing; a plain form of one or two characters has no run of three and is like its equals only.
 """
 
 from __future__ import annotations
@@ -27,26 +32,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.forms import mix, to_codes, trigram_codes, window_hashes
-from corpusloom.llm.likeness import likeness_of_plain, plain_column, span_coverage
-from corpusloom.llm.sketch import agreeing, block_anchors, four_bit_marks, minhash_symbols
+from corpusloom.llm.forms import mix, to_codes, trigram_codes
+from corpusloom.llm.likeness import likeness_of_plain, plain_column
 from corpusloom.llm.tables import first_value, stored, table
 
-SPAN = 10
-SPARSITY = 2
-#: Of 32 four-bit symbols, so many agree at least: a likeness of 0.6 gives 20 +- 2.8.
-AGREEING = 10
 LIKENESS = 0.6
-#: Texts of under 64 plain characters have 61 runs of three at most, those like them 101 at most.
-MOST = 101
-#: Runs of three are ordered by the counts of so many buckets of them; stock runs lie in buckets that are hit often enough.
-BUCKETS = 1 << 16
-#: Stock runs are counted on every SAMPLE-th text, that is on all; those of under LEAST texts are cheap to compare and stay.
-COMMON, SAMPLE, LEAST = 200, 1, 50
-BLOCKS, WIDTH = 8, 4
+#: Shortest common prefix that counts as a shared span in the report.
+SPAN = 10
+#: A record of the report is contained if at least this share of it lies in shared spans.
+CONTAINED = 0.8
+#: Runs of three are ordered by the counts of so many buckets of them (4 MB of counts in each task).
+BUCKETS = 1 << 20
+#: Suffixes of an interval that one task compares with one another, on each side.
+CELL = 100_000
+#: Sampled suffixes from which the splitters are taken, at most, and every so manieth text in which large intervals are looked for; both decide on balance only.
+SAMPLE, EVERY = 1 << 16, 64
+#: Suffixes of a part and of a task, about, and tasks at most.
+PART, TASK, TASKS = 250_000, 1_000_000, 10_000
 
 
 def split_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,164 +62,277 @@ def split_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qa.unionByName(chat).withColumn("side", side).where("side is not null and text is not null")
 
 
-def entries_of(plain: list[str], span: int, sparsity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row and key of every entry of a batch of plain forms that can be like one of over MOST runs of three, each pair once; codes and starts."""
-    codes, starts = to_codes(plain)
-    lengths = np.diff(starts)
-    rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    hashes = window_hashes(codes, span)
-    if len(hashes):
-        row = np.repeat(np.arange(len(plain)), lengths)[: len(hashes)]
-        inside = np.arange(len(hashes)) + span <= starts[1:][row]
-        chosen = inside & (hashes % np.uint64(sparsity) == 0) & (lengths[row] - 2 > LIKENESS * MOST)
-        rows.append(row[chosen])
-        keys.append(hashes[chosen])
-    both = np.unique(np.rec.fromarrays([np.concatenate(rows), np.concatenate(keys).view(np.int64)], names="row,key"))
-    return both.row, both.key, codes, starts
-
-
-def runs_of_three(plain: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hash of every run of three of a batch of plain forms."""
-    codes, starts = to_codes(plain)
-    grams = mix(trigram_codes(codes))
-    row = np.repeat(np.arange(len(plain)), np.diff(starts))[: len(grams)]
-    inside = np.arange(len(grams)) + 3 <= starts[1:][row]
-    return row[inside], grams[inside]
+def representatives(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct texts (tbl, kind, rep, plain) and membership (tbl, side, id, rep, split, source).
+
+    ``texts``: tbl, id, side (0 train, 1 evaluation), split, source, text; other columns are ignored.
+    ``kind``: a hash of the table's name, doubled, plus the side.
+    """
+    formed = texts.select("tbl", "id", F.col("side").cast("tinyint").alias("side"), "split", "source", plain_column("text").alias("plain"))
+    keyed = formed.where("plain <> ''").withColumns({"h": F.xxhash64("plain"), "g": F.xxhash64(F.lit(17), "plain")})
+    same = ["tbl", "side", "h", "g"]
+    reps = stored(keyed.groupBy(*same).agg(F.min("id").alias("rep"), F.first("plain").alias("plain")), "p1-texts")
+    members = keyed.select(*same, "id", "split", "source").distinct().join(reps.select(*same, "rep"), same)
+    kind = (F.hash("tbl").cast("long") * 2 + F.col("side")).alias("kind")
+    return reps.select("tbl", kind, "rep", "plain"), members.select("tbl", "side", "id", "rep", "split", "source")
 
 
-def bucket_of(keys: np.ndarray) -> np.ndarray:
-    return (keys.view(np.uint64) % np.uint64(BUCKETS)).astype(np.int64)
+def runs_of_three(plain: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, code and position in the batch of every run of three of a batch of plain forms."""
+    codes, starts = to_codes(plain)
+    runs = trigram_codes(codes)
+    row = np.repeat(np.arange(len(plain)), np.diff(starts))[: len(runs)]
+    at = np.flatnonzero(np.arange(len(runs)) + 3 <= starts[1:][row])
+    return row[at], runs[at], at
 
 
-ENTRY = "key long, rep long, m1 long, m2 long, grams int"
+def bucket_of(runs: np.ndarray) -> np.ndarray:
+    return (mix(runs) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def prefix_entries(plain: list[str], part: np.ndarray, rep: np.ndarray, order: np.ndarray, threshold: float) -> pd.DataFrame:
-    """The first runs of three, in the order of their buckets, of every text of at most MOST.
+def run_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How many runs of three of all texts fall into each bucket, and a sorted sample of the runs, of SAMPLE at most."""
 
-    ``m1`` and ``m2`` hold the parity of the text's distinct runs in 128 classes: it differs between two
-    texts in no more places than they have runs of their own.  ``grams``: number of runs, and in the
-    lower bits the place of this one.
-    """
-    row, gram = runs_of_three(plain)
-    rank = order[bucket_of(gram)]
-    at = np.lexsort((gram, rank, row))
-    row, gram = row[at], gram[at]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])
-    row, gram = row[new], gram[new]
-    grams = np.bincount(row, minlength=len(plain))
-    place = np.arange(len(row)) - (np.cumsum(grams) - grams)[row]
-    odd = np.bincount(row * 128 + (gram >> np.uint64(57)).astype(np.int64), minlength=len(plain) * 128).reshape(len(plain), 2, 64) & 1
-    marks = (odd.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(2, dtype=np.uint64).view(np.int64)
-    first = grams - np.ceil(threshold * grams - 1e-9).astype(np.int64) + 1
-    kept = (place < first[row]) & (grams[row] <= MOST)
-    row, gram, place = row[kept], gram[kept], place[kept]
-    return pd.DataFrame({"key": gram.view(np.int64) ^ part[row], "rep": rep[row], "m1": marks[row, 0], "m2": marks[row, 1], "grams": (grams[row] << 8 | place).astype(np.int32)})
-
-
-def can_be_like(a: str, b: str, threshold: float) -> Column:
-    """Of two entries with one key: their sketches agree, or their runs of three allow the likeness."""
-    agreed = agreeing(F.col(f"{a}.m1"), F.col(f"{b}.m1")) + agreeing(F.col(f"{a}.m2"), F.col(f"{b}.m2"))
-    apart = F.bit_count(F.col(f"{a}.m1").bitwiseXOR(F.col(f"{b}.m1"))) + F.bit_count(F.col(f"{a}.m2").bitwiseXOR(F.col(f"{b}.m2")))
-    x, y = (F.shiftright(f"{k}.grams", 8) for k in (a, b))
-    left = F.least(*(F.shiftright(f"{k}.grams", 8) - F.col(f"{k}.grams").bitwiseAND(F.lit(255)) for k in (a, b)))  # common runs at most, from the first common one on
-    short = (x > 0) & (y > 0) & (apart * (1 + threshold) <= (x + y) * (1 - threshold) + 1e-6) & (left * (1 + threshold) >= (x + y) * threshold - 1e-6)
-    return ((x == 0) & (y == 0) & (agreed >= AGREEING)) | short
-
-
-def entries_maker(span: int, sparsity: int, common: np.ndarray, order: np.ndarray, threshold: float):
-    """Everything by which a text is met: part key, representative, sketch, and place and number of its runs for the prefix filter."""
-
-    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, lucky, luck = np.zeros(BUCKETS, np.int32), np.full(SAMPLE, -1, np.int64), np.zeros(SAMPLE, np.int64)
         for df in batches:
-            plain, part, rep = df["plain"].tolist(), df["part"].to_numpy(), df["rep"].to_numpy()
-            yield prefix_entries(plain, part, rep, order, threshold)
-            row, key, codes, starts = entries_of(plain, span, sparsity)
-            if not len(row):
-                continue
-            symbols = minhash_symbols(codes, starts, BLOCKS * WIDTH)
-            m1, m2 = four_bit_marks(symbols[:16]), four_bit_marks(symbols[16:32])
-            key = key ^ part[row]
-            hot = np.isin(key, common)
-            lost = np.unique(row[hot])
-            row, key = row[~hot], key[~hot]
-            if len(lost):
-                anchors = block_anchors(symbols[:, lost], BLOCKS, WIDTH) ^ part[lost][:, None]
-                row, key = np.concatenate([row, np.repeat(lost, anchors.shape[1])]), np.concatenate([key, anchors.ravel()])
-            yield pd.DataFrame({"key": key, "rep": rep[row], "m1": m1[row], "m2": m2[row], "grams": np.int32(0)})
+            row, runs, _ = runs_of_three(df["plain"].tolist())
+            total += np.bincount(bucket_of(runs), minlength=BUCKETS).astype(np.int32)
+            some = mix(df["rep"].to_numpy(np.int64).view(np.uint64)[row] + runs)
+            slot = (some % np.uint64(SAMPLE)).astype(np.int64)
+            lucky[slot], luck[slot] = runs.view(np.int64), mix(some).view(np.int64)
+        at, taken = np.flatnonzero(total), np.flatnonzero(lucky >= 0)
+        yield pd.DataFrame({"bucket": at, "n": total[at].astype(np.int64), "luck": 0})
+        yield pd.DataFrame({"bucket": -1 - taken, "n": lucky[taken], "luck": luck[taken]})
 
-    return entries
+    counted = texts.select("rep", "plain").mapInPandas(count, "bucket long, n long, luck long")
+    got = counted.groupBy("bucket").agg(F.when(F.col("bucket") >= 0, F.sum("n")).otherwise(F.min_by("n", "luck")).alias("n")).toArrow().to_pandas()  # BUCKETS + SAMPLE rows at most
+    bucket, n = got["bucket"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[bucket[bucket >= 0]] = n[bucket >= 0]
+    return counts, np.sort(n[bucket < 0])
 
 
-def run_counts(span: int, sparsity: int, texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """How many runs of three of the texts (part, plain), and how many of their entries, fall into each bucket."""
+def splitters_of(sample: np.ndarray, suffixes: int) -> np.ndarray:
+    """First runs of the parts after the first."""
+    parts = max(1, min(-(-suffixes // PART), len(sample)))
+    return sample[np.arange(1, parts) * len(sample) // parts]
 
-    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(2 * BUCKETS, np.int64)
-        for df in batches:
-            plain = df["plain"].tolist()
-            total[:BUCKETS] += np.bincount(bucket_of(runs_of_three(plain)[1]), minlength=BUCKETS)
-            row, key, _, _ = entries_of(plain, span, sparsity)
-            total[BUCKETS:] += np.bincount(bucket_of(key ^ df["part"].to_numpy()[row]), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": at, "n": total[at]})
 
-    got = texts.mapInPandas(counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most 2 * BUCKETS rows
-    out = np.zeros(2 * BUCKETS, np.int64)
-    out[got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-    return out[:BUCKETS], out[BUCKETS:]
+def sorted_parts(array: DataFrame, suffixes: int, *order: str) -> DataFrame:
+    """Every part in one task, sorted; tasks grow in number with the suffixes."""
+    usual = int(array.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return array.repartition(max(usual, min(suffixes // TASK, TASKS)), "part").sortWithinPartitions("part", *order)
+
 
+def rare_suffixes(counts, splitters: np.ndarray, grid: tuple[np.ndarray, np.ndarray], threshold: float):
+    """The sparse array's suffixes: part, cell, first three characters, rep, kind, sketch, number of runs and place of this one.
 
-def common_keys(texts: DataFrame, often: float, hits: np.ndarray, span: int, sparsity: int) -> np.ndarray:
-    """Keys of the runs that at least ``often`` of the texts (part, plain) hold; ``hits`` are the entries in each bucket."""
-    hot = hits >= often
-    if not hot.any():
-        return np.zeros(0, np.int64)
+    ``grid``: the first characters of the large intervals, sorted, and their cells on a side.
+    """
 
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        often = counts.value
+        for df in batches:
+            plain = df["plain"].tolist()
+            row, run, _ = runs_of_three(plain)
+            seen = often[bucket_of(run)]
+            order = np.lexsort((run, seen, row))
+            row, run = row[order], run[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (run[1:] != run[:-1])
+            row, run = row[new], run[new]
+            n = np.bincount(row, minlength=len(plain))
+            place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+            odd = np.bincount(row * 128 + (mix(run) >> np.uint64(57)).astype(np.int64), minlength=len(plain) * 128).reshape(len(plain), 2, 64) & 1
+            marks = (odd.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(2, dtype=np.uint64).view(np.int64)
+            kept = place < (n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1)[row]
+            row, k1, place = row[kept], run[kept].view(np.int64), place[kept]
+            rep, kind = df["rep"].to_numpy(np.int64), df["kind"].to_numpy(np.int64)
+            out = {"part": np.searchsorted(splitters, k1, "right"), "cell": np.zeros(len(row), np.int64), "k1": k1, "kind": kind[row], "rep": rep[row], "m1": marks[row, 0], "m2": marks[row, 1], "runs": n[row] << 32 | place}
+            yield pd.DataFrame(in_cells(out, grid)).astype({"part": np.int32, "cell": np.int32})
+
+    return make
+
+
+def in_cells(out: dict[str, np.ndarray], grid: tuple[np.ndarray, np.ndarray]) -> dict[str, np.ndarray]:
+    """Suffixes of large intervals once for each cell of their row (evaluation) or column (training) of the grid."""
+    heads, sides = grid
+    if not len(heads) or not len(out["k1"]):
+        return out
+    near = np.minimum(np.searchsorted(heads, out["k1"]), len(heads) - 1)
+    large = heads[near] == out["k1"]
+    hot = np.flatnonzero(large)
+    width = sides[near[hot]]
+    own = (mix(out["rep"][hot].view(np.uint64)) % width.astype(np.uint64)).astype(np.int64)
+    again = np.repeat(np.arange(len(hot)), width)
+    other = np.arange(len(again)) - (np.cumsum(width) - width)[again]
+    more = {k: v[hot[again]] for k, v in out.items()}
+    more["cell"] = 1 + np.where(more["kind"] & 1, own[again] * width[again] + other, other * width[again] + own[again])
+    more["part"] = -1 - ((more["k1"] + more["cell"]) & 0xFFFF)  # parts of their own
+    return {k: np.concatenate([v[~large], more[k]]) for k, v in out.items()}
+
+
+RARE = "part int, cell int, k1 long, kind long, rep long, m1 long, m2 long, runs long"
+
+
+def large_intervals(suffixes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Heads of the intervals of about CELL suffixes or more, by the suffixes of every EVERY-th text, and their cells on a side; at most a number of heads like the runs of three in use."""
+    heads = suffixes.groupBy("k1").agg(F.count("*").alias("n")).where(F.col("n") * EVERY >= CELL).orderBy("k1").toArrow().to_pandas()
+    return heads["k1"].to_numpy(np.int64), -(-heads["n"].to_numpy(np.int64) * EVERY // CELL) + 1
+
+
+def intervals(batches: Iterator[pd.DataFrame], *keys: str) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Sorted suffixes again, cut only between intervals of equal ``keys`` (of kinds, the table), and the number of the interval of each."""
+
+    def begins(df: pd.DataFrame) -> np.ndarray:
+        new = np.zeros(len(df), bool)
+        for k in keys:
+            v = df[k].to_numpy() >> 1 if k == "kind" else df[k].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return new
+
+    held: list[pd.DataFrame] = []
+    for df in batches:
+        if len(df):
+            joint = pd.concat([held[-1][-1:], df]) if held else df
+            at = np.flatnonzero(begins(joint)) - bool(held)
+            if len(at):
+                whole = pd.concat([*held, df[: at[-1]]], ignore_index=True)
+                if len(whole):
+                    yield whole, np.cumsum(begins(whole))
+                held = []
+            held.append(df[at[-1] :] if len(at) else df)
+    if held:
+        whole = pd.concat(held, ignore_index=True)
+        yield whole, np.cumsum(begins(whole))
+
+
+def shared_spans(threshold: float, chunk: int = 1 << 20):
+    """Scan of the sorted sparse suffixes: rep_eval, rep_train of both sides of an interval that can reach the likeness."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df, number in intervals(batches, "part", "k1", "cell", "kind"):
+            kind = df["kind"].to_numpy(np.int64)
+            is_eval = (kind & 1) == 1
+            ev, tr = np.flatnonzero(is_eval), np.flatnonzero(~is_eval)
+            low, high = np.searchsorted(number[tr], number[ev], "left"), np.searchsorted(number[tr], number[ev], "right")
+            ev, low, width = ev[high > low], low[high > low], (high - low)[high > low]
+            if not len(ev):
+                continue
+            rep = df["rep"].to_numpy(np.int64)
+            m1, m2 = df["m1"].to_numpy(np.int64).view(np.uint64), df["m2"].to_numpy(np.int64).view(np.uint64)
+            runs = df["runs"].to_numpy(np.int64)
+            n, left = (runs >> 32).astype(np.int32), ((runs >> 32) - (runs & 0xFFFFFFFF)).astype(np.int32)
+            done, ends = 0, np.cumsum(width)
+            while done < len(ev):
+                upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + chunk, "right")))
+                a = np.repeat(np.arange(done, upto), width[done:upto])
+                b = tr[low[a] + np.arange(len(a)) - (ends[a] - width[a] - (ends[done - 1] if done else 0))]
+                a = ev[a]
+                both = n[a] + n[b]
+                # s common runs of both = x + y - s at most: likeness <=> s * (1 + t) >= t * (x + y); at most ``left`` common ones from here on
+                ok = np.flatnonzero(np.minimum(left[a], left[b]) * (1 + threshold) >= both * threshold - 1e-6)
+                a, b, both = a[ok], b[ok], both[ok]
+                apart = np.bitwise_count(m1[a] ^ m1[b]).astype(np.int32) + np.bitwise_count(m2[a] ^ m2[b])
+                ok = apart * (1 + threshold) <= both * (1 - threshold) + 1e-6
+                yield pd.DataFrame({"rep_eval": rep[a[ok]], "rep_train": rep[b[ok]], "kind": kind[a[ok]]}).drop_duplicates()
+                done = upto
+
+    return scan
+
+
+def cross_split_pairs(texts: DataFrame, threshold: float = LIKENESS) -> DataFrame:
+    """tbl, rep_eval, rep_train, likeness of every pair of distinct texts (tbl, kind, rep, plain) of both sides that reaches the likeness."""
+    counts, sample = run_counts(texts)
+    splitters, total = splitters_of(sample, int(counts.sum())), int(counts.sum())
+    shared = texts.sparkSession.sparkContext.broadcast(counts)  # 8 MB
+    plain = texts.select("kind", "rep", "plain")
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    some = plain.where(F.pmod(F.xxhash64("rep"), F.lit(EVERY)) == 0)
+    grid = large_intervals(some.mapInPandas(rare_suffixes(shared, splitters, none, threshold), RARE))
+    suffixes = plain.mapInPandas(rare_suffixes(shared, splitters, grid, threshold), RARE)
+    array = sorted_parts(suffixes, total, "k1", "cell", "kind")
+    met = stored(array.mapInPandas(shared_spans(threshold), "rep_eval long, rep_train long, kind long").distinct(), "p1-spans")
+    train, ev = (F.col("kind").bitwiseAND(F.lit(1)) == side for side in (0, 1))
+    left = texts.where(ev).select("tbl", "kind", F.col("rep").alias("rep_eval"), F.col("plain").alias("a"))
+    right = texts.where(train).select("tbl", F.col("rep").alias("rep_train"), F.col("plain").alias("b"))
+    read = met.join(left, ["rep_eval", "kind"]).join(right, ["tbl", "rep_train"])
+    pairs = read.select("tbl", "rep_eval", "rep_train", likeness_of_plain("a", "b").alias("likeness")).where(F.col("likeness") >= threshold)
+    short = texts.where("length(plain) < 3")
+    equal = short.where(ev).select("tbl", "plain", F.col("rep").alias("rep_eval")).join(short.where(train).select("tbl", "plain", F.col("rep").alias("rep_train")), ["tbl", "plain"])
+    return pairs.unionByName(equal.select("tbl", "rep_eval", "rep_train", F.lit(1.0).alias("likeness")))
+
+
+WORDS = [f"k{j + 1}" for j in range(-(-SPAN // 3))]
+FULL = "part int, " + ", ".join(f"{k} long" for k in WORDS) + ", kind long, rep long, at long"
+
+
+def all_suffixes(splitters: np.ndarray):
+    """The full array's suffixes of at least SPAN characters: part, first SPAN characters, kind, rep and position (of evaluation texts)."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            row, key, _, _ = entries_of(df["plain"].tolist(), span, sparsity)
-            key = key ^ df["part"].to_numpy()[row]
-            key, n = np.unique(key[hot[bucket_of(key)]], return_counts=True)
-            yield pd.DataFrame({"key": key, "n": n})
+            codes, starts = to_codes(df["plain"].tolist())
+            row = np.repeat(np.arange(len(df)), np.diff(starts))
+            at = np.flatnonzero(np.arange(len(codes)) + SPAN <= starts[1:][row])
+            row = row[at]
+            words = {k: packed(codes, at + 3 * j, min(3, SPAN - 3 * j)) for j, k in enumerate(WORDS)}
+            kind = df["kind"].to_numpy(np.int64)[row]
+            ev = (kind & 1) == 1
+            out = pd.DataFrame({"part": np.searchsorted(splitters, words["k1"], "right").astype(np.int32), **words, "kind": kind, "rep": np.where(ev, df["rep"].to_numpy(np.int64)[row], 0), "at": np.where(ev, at - starts[row], 0)})
+            yield out.drop_duplicates()  # a training suffix counts once, wherever it stands
 
-    counted = texts.mapInPandas(keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= often)
-    return np.sort(counted.select("key").toPandas()["key"].to_numpy(np.int64))  # at most COMMON times the entries of a text
+    return make
 
 
-def cross_split_overlaps(texts: DataFrame, span: int = SPAN, sparsity: int = SPARSITY, threshold: float = LIKENESS) -> tuple[DataFrame, DataFrame]:
-    """Pairs of representatives (tbl, rep_eval, rep_train, likeness, coverage) and membership (tbl, side, rep, id, split, source).
+def packed(codes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The n code points from each position on in the upper fields of a long, so that longs sort like texts."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(n):
+        out |= codes[at + k].astype(np.uint64) << np.uint64(42 - 21 * k)
+    return out.view(np.int64)
 
-    ``texts``: tbl, id, side (0 train, 1 evaluation), split, source, text; other columns are ignored.
-    ``coverage``: share of the evaluation text inside shared spans.
+
+def adjacent_spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Scan of the sorted full array: evaluation suffixes that have SPAN characters in common with the training suffix before them.
+
+    Training suffixes stand before evaluation suffixes of the same first SPAN characters, so no other neighbour can share more.
     """
-    formed = texts.select("tbl", "id", F.col("side").cast("tinyint").alias("side"), "split", "source", plain_column("text").alias("plain"))
-    keyed = formed.withColumns({"h": F.xxhash64("plain"), "g": F.xxhash64(F.lit(17), "plain")})
-    same = ["tbl", "side", "h", "g"]
-    reps = [keyed.where(F.col("side") == side).groupBy(*same).agg(F.min("id").alias("rep"), F.first("plain").alias("plain")).where("length(plain) >= 3") for side in (0, 1)]
-    parts = [r.select("rep", F.xxhash64("tbl").alias("part"), "plain") for r in reps]
-    texts = parts[0].unionByName(parts[1])
-    counted = texts.where(F.pmod(F.xxhash64("plain"), F.lit(SAMPLE)) == 0)
-    order, hits = run_counts(span, sparsity, counted)
-    common = common_keys(counted, max(LEAST, counted.count() / COMMON), hits, span, sparsity)
-    make = entries_maker(span, sparsity, common, order, threshold)
-    train, ev = (p.mapInPandas(make, ENTRY).alias(name) for p, name in zip(parts, ("train", "eval"), strict=True))
-    met = ev.join(train, (F.col("train.key") == F.col("eval.key")) & can_be_like("eval", "train", threshold))
-    spans = met.select(F.col("eval.rep").alias("rep_eval"), F.col("train.rep").alias("rep_train"))
-    spans = stored(spans.distinct(), "p1-spans")
-    left = reps[1].select("tbl", F.col("rep").alias("rep_eval"), F.col("plain").alias("a"))
-    right = reps[0].select("tbl", F.col("rep").alias("rep_train"), F.col("plain").alias("b"))
-    read = spans.join(left, "rep_eval").join(right, ["tbl", "rep_train"])
-    pairs = read.select("tbl", "rep_eval", "rep_train", likeness_of_plain("a", "b").alias("likeness"), "a", "b").where(F.col("likeness") >= threshold)
-    pairs = pairs.select("tbl", "rep_eval", "rep_train", "likeness", span_coverage(span)("a", "b").alias("coverage"))
-    members = keyed.select(*same, "id", "split", "source").distinct().join(reps[0].unionByName(reps[1]).select(*same, "rep"), same)
-    return pairs, members.select("tbl", "side", "rep", "id", "split", "source")
+    last: pd.DataFrame | None = None  # the last training suffix before the batch
+    for df in batches:
+        if not len(df):
+            continue
+        joint = df if last is None else pd.concat([last, df], ignore_index=True)
+        kind = joint["kind"].to_numpy(np.int64)
+        before = np.maximum.accumulate(np.where((kind & 1) == 0, np.arange(len(joint)), -1))
+        ev = np.flatnonzero(((kind & 1) == 1) & (before >= 0))
+        near = before[ev]
+        same = kind[ev] >> 1 == kind[near] >> 1
+        for k in WORDS:
+            word = joint[k].to_numpy(np.int64)
+            same &= word[ev] == word[near]
+        yield joint.loc[ev[same], ["kind", "rep", "at"]]
+        if before[-1] >= 0:
+            last = joint[before[-1] : before[-1] + 1]
+
+
+def coverage(texts: DataFrame) -> DataFrame:
+    """tbl, rep, coverage: of every distinct evaluation text, the share of its characters in the union of the spans it shares with training texts."""
+    counts, sample = run_counts(texts)
+    total = int(counts.sum())
+    array = texts.select("kind", "rep", "plain").mapInPandas(all_suffixes(splitters_of(sample, total)), FULL)
+    array = sorted_parts(array.withColumn("tbl", F.shiftright("kind", 1)), total, "tbl", *WORDS, "kind").drop("tbl")
+    spans = array.mapInPandas(adjacent_spans, "kind long, rep long, at long")
+    earlier = F.lag("at").over(Window.partitionBy("kind", "rep").orderBy("at"))  # the positions of one text
+    own = spans.select("kind", "rep", F.least(F.lit(SPAN), F.coalesce(F.col("at") - earlier, F.lit(SPAN))).alias("n")).groupBy("kind", "rep").agg(F.sum("n").alias("covered"))
+    return texts.where(F.col("kind").bitwiseAND(F.lit(1)) == 1).join(own, ["kind", "rep"], "left").select("tbl", "rep", (F.coalesce("covered", F.lit(0)) / F.length("plain")).alias("coverage"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tbl, id_a < id_b: every pair of an evaluation and a training record with a likeness of at least 0.6."""
-    pairs, members = cross_split_overlaps(split_texts(spark, sf_dir))
+    texts, members = representatives(split_texts(spark, sf_dir))
+    pairs = cross_split_pairs(texts)
     ev = members.where("side = 1").select("tbl", F.col("rep").alias("rep_eval"), F.col("id").alias("id_eval"))
     tr = members.where("side = 0").select("tbl", F.col("rep").alias("rep_train"), F.col("id").alias("id_train"))
     both = pairs.select("tbl", "rep_eval", "rep_train").join(ev, ["tbl", "rep_eval"]).join(tr, ["tbl", "rep_train"])
@@ -222,12 +340,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaked evaluation records, linked training texts and mean coverage per table, evaluation split and source."""
-    pairs, members = cross_split_overlaps(split_texts(spark, sf_dir))
-    best = pairs.groupBy("tbl", "rep_eval").agg(F.count("*").alias("links"), F.max("coverage").alias("coverage"))
-    ev = members.where("side = 1").withColumnRenamed("rep", "rep_eval")
-    return (
-        ev.join(best, ["tbl", "rep_eval"], "left")
-        .groupBy("tbl", "split", "source")
-        .agg(F.countDistinct("id").alias("records"), F.count_distinct(F.when(F.col("links") > 0, F.col("id"))).alias("leaked"), F.coalesce(F.sum("links"), F.lit(0)).alias("train_texts"), F.round(F.avg("coverage"), 6).alias("mean_coverage"))
+    """Per table, evaluation split and source: records with a plain form, those like a training record, their links to distinct training texts, those contained in training spans, and the mean coverage."""
+    texts, members = representatives(split_texts(spark, sf_dir))
+    links = cross_split_pairs(texts).groupBy("tbl", F.col("rep_eval").alias("rep")).agg(F.count("*").alias("links"))
+    each = members.where("side = 1").join(links, ["tbl", "rep"], "left").join(coverage(texts), ["tbl", "rep"])
+    return each.groupBy("tbl", "split", "source").agg(
+        F.count("*").alias("records"),
+        F.count_if(F.col("links") > 0).alias("leaked"),
+        F.coalesce(F.sum("links"), F.lit(0)).alias("train_texts"),
+        F.count_if(F.col("coverage") >= CONTAINED).alias("contained"),
+        F.round(F.avg("coverage"), 6).alias("mean_coverage"),
     )

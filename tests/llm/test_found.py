@@ -2,7 +2,11 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from corpusloom.llm import p1_cross_split as p1
 from corpusloom.llm import p2_near_duplicates as p2
@@ -12,7 +16,7 @@ from corpusloom.llm import p5_ledger as p5
 from corpusloom.llm import p6_leaks as p6
 from corpusloom.llm.components import components
 from corpusloom.llm.forms import plain
-from corpusloom.llm.likeness import jaccard, shared_share
+from corpusloom.llm.likeness import jaccard
 
 ALPHABET = "头晕乏力口干睡食欲下降记录观察温水饭后散步医师咨询一二三四五六七八九十上中大小左右前后里外"
 
@@ -59,7 +63,59 @@ def test_p1(spark, tables, pool, t0):
                     want.add((tbl, off + i, off + j))
     assert pairs(p1.p1_found(spark, d)) == want
     report = p1.p1_report(spark, d).collect()
-    assert {r["split"] for r in report} == {"development", "heldout"} and sum(r["leaked"] for r in report) > 0
+    assert {r["split"] for r in report} == {"development", "heldout"}
+    for tbl, off in (("qa_records", 0), ("chat_samples", 1000)):
+        kept = [(splits[i % 6], plain(t or "")) for i, t in enumerate(pool) if plain(t or "")]
+        train = {t for s, t in kept if s == "train"}
+        for split in ("development", "heldout"):
+            own = [t for s, t in kept if s == split]
+            r = next(r for r in report if r["tbl"] == tbl and r["split"] == split)
+            shares = [covered(t, train) for t in own]
+            linked = [sum(t == x or jaccard(t, x) >= 0.6 for x in train) for t in own]
+            assert (r["records"], r["leaked"], r["train_texts"]) == (len(own), sum(n > 0 for n in linked), sum(linked))
+            assert r["contained"] == sum(x >= 0.8 for x in shares) and r["mean_coverage"] == pytest.approx(sum(shares) / len(own), abs=1e-6)
+
+
+def covered(text, train):
+    inside = [False] * len(text)
+    for k in range(len(text) - p1.SPAN + 1):
+        if any(text[k : k + p1.SPAN] in t for t in train):
+            inside[k : k + p1.SPAN] = [True] * p1.SPAN
+    return sum(inside) / len(text)
+
+
+def test_p1_reports_a_text_inside_a_longer_one(spark, tables, t0):
+    rng = random.Random(12)
+    inner = text(rng, 40)
+    d = tables(qa_records=[(1, "s", "heldout", inner, None, None, t0), (2, "s", "train", text(rng, 400) + inner + text(rng, 400), None, None, t0)])
+    (r,) = p1.p1_report(spark, d).collect()
+    assert (r["records"], r["leaked"], r["contained"], r["mean_coverage"]) == (1, 0, 1, 1.0)
+
+
+def test_p1_cuts_large_intervals_into_cells(spark, tables, pool, t0, monkeypatch):
+    rows = [(i, "s", ("train", "heldout")[i % 2], t, None, None, t0) for i, t in enumerate(pool)]
+    d = tables(qa_records=rows)
+    want = pairs(p1.p1_found(spark, d))
+    for name, value in (("CELL", 3), ("EVERY", 1), ("PART", 50), ("TASK", 50)):
+        monkeypatch.setattr(p1, name, value)
+    texts, _ = p1.representatives(p1.split_texts(spark, d))
+    heads, sides = p1.large_intervals(texts.mapInPandas(p1.rare_suffixes(spark.sparkContext.broadcast(np.zeros(p1.BUCKETS, np.int64)), np.zeros(0, np.int64), (np.zeros(0, np.int64),) * 2, 0.6), p1.RARE))
+    assert len(heads) and sides.max() > 1
+    assert pairs(p1.p1_found(spark, d)) == want and want
+
+
+@given(st.lists(st.integers(0, 5), max_size=40), st.lists(st.integers(1, 9), max_size=40))
+def test_intervals_are_never_cut(keys, sizes):
+    df = pd.DataFrame({"k": np.sort(np.array(keys, np.int64)), "kind": 2})
+    batches, at = [], 0
+    for n in [*sizes, len(df)]:
+        batches.append(df[at : at + n])
+        at += n
+    out = list(p1.intervals(iter(batches), "k", "kind"))
+    assert [x for d, _ in out for x in d["k"]] == sorted(keys)
+    assert all((number == np.unique(d["k"], return_inverse=True)[1]).all() for d, number in out)
+    seen = [set(d["k"]) for d, _ in out]
+    assert sum(map(len, seen)) == len(set(keys))
 
 
 def test_p1_of_short_texts(spark, tables, t0):
@@ -94,12 +150,6 @@ def test_components_of_a_chain_and_a_star(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_coverage():
-    assert shared_share("abcdefgh", "xxabcdyy", 4) == 0.5
-    assert shared_share("", "abc", 4) == 0.0
-    assert shared_share("ab", "xaby", 4) == 1.0
-
-
 Q = "头晕已经三天了，口干明显。该怎么办？"
 CASES = [
     (Q, None, "empty"),
@@ -214,10 +264,8 @@ def test_empty_tables(spark, tables, query):
     assert query(spark, tables()).count() == 0
 
 
-def test_p1_with_a_stock_phrase(spark, tables, t0, monkeypatch):
+def test_p1_with_a_stock_phrase(spark, tables, t0):
     """Half of all texts share a long phrase; pairs that depend on it alone are still found."""
-    monkeypatch.setattr(p1, "SAMPLE", 1)
-    monkeypatch.setattr(p1, "LEAST", 5)
     rng = random.Random(8)
     phrase = text(rng, 80)
     texts = [phrase + text(rng, 10 if i % 3 else 90) for i in range(60)] + [text(rng, 90) for _ in range(60)]
