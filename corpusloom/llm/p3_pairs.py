@@ -1,28 +1,36 @@
 """Problem 3: broken prompt and response pairs, each with its type of defect.
 
-Answers are sorted by their plain form over ranges, and every answer is compared with its sorted
-neighbours: an answer without a closing mark whose plain form begins its neighbour's is a shortened
-version, one equal to a neighbour with a closing mark is whole.  Lengths at which unclosed answers
-pile up are length limits.  Then the rules for empty, copied, refusing, foreign and broken-off
-answers are applied in that order; no answer gets two types.
-
-Null answers are empty; a null question has no language and is copied by nothing.  Repeats of a
-record count once.  Bare figures and lists of short items are whole without a closing mark.
+The rules for empty, copied, refusing, foreign and broken-off answers are applied in that order in one
+pass.  Then all answers are sorted by their text (skeleton without white space) over ranges, and every
+answer that ends without a closing mark is compared with the texts that follow it: those it begins.
+
+* If one of them goes on inside the word, the answer is a shortened version: truncated, also where
+  the rules hold it for a list, a figure or a farewell.  Answers of under LONG characters are compared
+  with answers to the same question only, since short texts begin others by chance.
+* If one of them only adds closing marks, the answer is whole.
+* Lengths at which most answers are unclosed, far more of them than at lengths nearby, are length
+  limits: the unclosed answers of such a length are truncated.
+
+Texts that an answer at the end of a range begins in later ranges are looked up in a second pass, so the
+ranges change nothing.  No answer gets two types.  Null answers are empty; a null question has no
+language and is copied by nothing.  Repeats of a record count once.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.forms import plain, to_codes
+from corpusloom.llm.forms import plain, skeleton, to_codes
 from corpusloom.llm.likeness import plain_texts
+from corpusloom.llm.sketch import text_key
 from corpusloom.llm.tables import stored, table
 
 # Contents that stand for no answer, labels, farewells.
@@ -40,7 +48,7 @@ _DECLINES = re.compile(rf"{_DECLINE}|unable|cannot|can't|can not|won't|not able|
 _EN_REFUSAL = re.compile(r"\b(?:unable to|cannot|can't|can not|won't be able to|not able to|must decline|have to decline|decline to|not allowed to|not permitted to|refuse to)\b", re.I)
 _EN_POLITE = re.compile(r"(?:i'?m |i am |we are )?(?:very |so |really )?(?:sorry|apologies|apologise|apologize|thanks|thank you)\b.{0,40}", re.I)
 _CLAUSE = re.compile(r"[。！？!?；;，,、\n\t…—:：]+|\.(?=\s|$)|(?<=[一-鿿]) +")
-_SCRIPTS = (("han", re.compile(r"[㐀-鿿豈-﫿]")), ("kana", re.compile(r"[぀-ヿ]")), ("hangul", re.compile(r"[가-힣]")), ("cyrillic", re.compile(r"[Ѐ-ӿ]")), ("latin", re.compile(r"[A-Za-zÀ-ɏ]+")), ("arabic", re.compile(r"[؀-ۿ]")), ("thai", re.compile(r"[฀-๿]")), ("devanagari", re.compile(r"[ऀ-ॿ]")), ("greek", re.compile(r"[Ͱ-Ͽ]")))
+_SCRIPTS = (("han", re.compile(r"[\u3400-\u9fff\uf900-\ufaff]")), ("kana", re.compile(r"[぀-ヿ]")), ("hangul", re.compile(r"[가-힣]")), ("cyrillic", re.compile(r"[Ѐ-ӿ]")), ("latin", re.compile(r"[A-Za-zÀ-ɏ]+")), ("arabic", re.compile(r"[؀-ۿ]")), ("thai", re.compile(r"[฀-๿]")), ("devanagari", re.compile(r"[ऀ-ॿ]")), ("greek", re.compile(r"[Ͱ-Ͽ]")))
 _QUOTED = re.compile(r"[（(][^（）()]*[）)]?|[“\"「『][^”\"」』]*[”\"」』]?")
 _CLOSED = re.compile(r"(?:[。！？!?…]|(?<!\d)\.|\.{2,}|[\U0001F300-\U0001FAFF♀-⛿✀-➿])$")
 _LIST_NUMBER = re.compile(r"(?:^|[\s。；;！!？?，,.：:])[(（]?(?:\d{1,2}|[一二三四五六七八九十])\s*[.、．)）:：]$")
@@ -52,7 +60,7 @@ _ITEM = re.compile(r"[；;、，,]")
 
 def language(text: str) -> str | None:
     """Written language of a text by its letters outside quotations; None with hardly a letter."""
-    bare = _QUOTED.sub("", text)
+    bare = _QUOTED.sub("", unicodedata.normalize("NFKC", text))
     n = {name: len(p.findall(bare)) for name, p in _SCRIPTS}
     if n["kana"] and n["kana"] * 6 >= n["han"]:
         return "ja"
@@ -67,10 +75,10 @@ def is_empty(form: str) -> bool:
 
 def is_copy(q: str, a: str) -> bool:
     """Of plain forms: only the question again, perhaps labelled, reformatted or repeated."""
-    if len(q) < 4 or q not in a:
+    if not q or q not in a:
         return False
     rest = re.sub(LABELS, "", a.replace(q, ""))
-    return len(rest) <= 2 and not (rest and rest.isdigit())
+    return len(rest) <= (2 if len(q) > 3 else 0) and not (rest and rest.isdigit())
 
 
 def is_refusal(answer: str) -> bool:
@@ -142,17 +150,17 @@ def ends_open(answer: str) -> bool:
     return bool(s) and not _CLOSED.search(s)
 
 
-def is_cut(answer: str, whole_neighbour: bool) -> bool:
+def is_cut(answer: str) -> bool:
     """Breaks off inside a sentence, clause, word, list or bracket."""
     if not ends_open(answer):
         return False
     s = _INVISIBLE.sub("", answer).strip()
     if _OPEN_MARK.search(s) or _LIST_NUMBER.search(s):
-        return not (whole_neighbour and not _LIST_NUMBER.search(s))
+        return True
     stripped = s.rstrip("\"'”’」』）)】》*_` ")
     if is_bare(stripped) or is_bare(s):
         return False
-    return not whole_neighbour and last_clause(stripped) not in FAREWELLS
+    return last_clause(stripped) not in FAREWELLS
 
 
 def defect_of(question: str | None, answer: str | None, q: str, a: str, same_script: bool) -> str | None:
@@ -165,7 +173,7 @@ def defect_of(question: str | None, answer: str | None, q: str, a: str, same_scr
         return "refusal"
     if not same_script and is_foreign(question, answer):
         return "other_language"
-    return "truncated" if is_cut(answer, False) else None
+    return "truncated" if is_cut(answer) else None
 
 
 def defect(question: str | None, answer: str | None) -> str | None:
@@ -184,14 +192,21 @@ def mostly_han(texts: list[str | None]) -> np.ndarray:
     return (han * 2 > np.diff(starts)) & (kana == 0)
 
 
+def sorted_text(text: str | None) -> str:
+    """The text in one encoding, in lower case, without white space; marks stay."""
+    return "".join(skeleton(text or "").lower().split())
+
+
 def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The one pass over all pairs: defect by the rules, plain form and prefix of the answer."""
+    """The one pass over all pairs: defect by the rules, whether the answer is unclosed, its text for the sort, and the question's key."""
     for df in batches:
         qs, answers = df["question"].tolist(), df["answer"].tolist()
         q_forms, a_forms = plain_texts(qs), plain_texts(answers)
         same = mostly_han(qs) & mostly_han(answers)
         found = [defect_of(*row) for row in zip(qs, answers, q_forms, a_forms, same, strict=True)]
-        yield pd.DataFrame({"tbl": df["tbl"], "row_id": df["row_id"], "defect": found, "chars": [len(a or "") for a in answers], "prefix": [a[:KEY] for a in a_forms], "form": a_forms})
+        unclosed = [kind in (None, "truncated") and ends_open(a) for kind, a in zip(found, answers, strict=True)]
+        codes, starts = to_codes(q_forms)
+        yield pd.DataFrame({"tbl": df["tbl"], "row_id": df["row_id"], "defect": found, "unclosed": unclosed, "chars": [len(a or "") for a in answers], "asked": text_key(codes, starts, 3), "text": [sorted_text(a) for a in answers]})
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,45 +216,91 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-def judge_neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Over one sorted range of distinct forms: of each suspect form, whether the next form goes on from it."""
-    last: tuple[str, bool] | None = None
-    names = ["form", "whole", "shortened"]
+#: Answers of fewer characters are compared with answers to the same question only.
+LONG = 12
+_ENDS = re.compile(r"[。．.！？!?…\"'”’」』）)】》*_`~～]+")
+
+
+def goes_on(begin: str, text: str) -> int:
+    """How a text goes on after its begin: 1 inside a word or after a mark that goes on, 2 with closing marks only, 0 otherwise."""
+    if (begin[-1:].isalnum() or _OPEN_MARK.search(begin)) and text[len(begin)].isalnum():
+        return 1
+    return 2 if _ENDS.fullmatch(text, len(begin)) else 0
+
+
+def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Over one sorted range of distinct (scope, text): of every unclosed text, how the texts that it begins go on.
+
+    ``seen``: bits 1 and 2 of ``goes_on``; ``pending``: the range ended before the texts that it begins.
+    """
+    names = ["scope", "text", "seen", "pending"]
+    begun: list[list] = []  # unclosed texts that begin the current one, shortest first: [scope, text, seen]
     for df in batches:
         out = []
-        for form, suspect, whole in zip(df["form"], df["suspect"], df["whole"], strict=True):
-            if last is not None:
-                out.append((*last, form.startswith(last[0]) and last[0] != ""))
-            last = (form, whole) if suspect else None
+        for scope, text, unclosed in zip(df["scope"], df["text"], df["unclosed"], strict=True):
+            while begun and not (begun[-1][0] == scope and text.startswith(begun[-1][1])):
+                out.append((*begun.pop(), False))
+            for b in begun:
+                b[2] |= goes_on(b[1], text)
+            if unclosed:
+                begun.append([scope, text, 0])
         yield pd.DataFrame(out, columns=names)
-    yield pd.DataFrame([] if last is None else [(*last, False)], columns=names)
+    yield pd.DataFrame([(*b, True) for b in begun], columns=names)
+
+
+def look_up(pending: list[tuple[int, str]]):
+    """How texts go on after the pending ones that begin them."""
+    wanted = set(pending)
+    lengths = sorted({len(t) for _, t in pending})
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            out = [(s, t[:n], goes_on(t[:n], t)) for s, t in zip(df["scope"], df["text"], strict=True) for n in lengths if n < len(t) and (s, t[:n]) in wanted]
+            yield pd.DataFrame(out, columns=["scope", "text", "seen"])
+
+    return look
+
+
+def continuations(texts: DataFrame) -> DataFrame:
+    """scope, text, seen of every unclosed one of distinct texts (scope, text, unclosed)."""
+    ordered = texts.repartitionByRange("scope", "text").sortWithinPartitions("scope", "text")
+    found = stored(ordered.mapInPandas(follow, "scope long, text string, seen int, pending boolean"), "p3-continuations")
+    pending = [(r["scope"], r["text"]) for r in found.where("pending").select("scope", "text").collect()]  # those that begin the last text of a range
+    if not pending:
+        return found.select("scope", "text", "seen")
+    later = texts.mapInPandas(look_up(pending), "scope long, text string, seen int")
+    return found.select("scope", "text", "seen").unionByName(later).groupBy("scope", "text").agg(F.bit_or("seen").alias("seen"))
+
+
+def length_limits(judged: DataFrame) -> DataFrame:
+    """tbl, chars of the lengths at which at least 8 and most answers are unclosed, 6 times the mean of the 10 lengths on either side."""
+    counts = judged.groupBy("tbl", "chars").agg(F.count_if("unclosed").alias("n"), F.count("*").alias("all"))
+    near = Window.partitionBy("tbl").orderBy("chars").rangeBetween(-10, 10)  # one row for each length in use
+    around = counts.withColumn("around", (F.sum("n").over(near) - F.col("n")) / 20)
+    return around.where("n >= 8 and n * 2 > `all` and n > 6 * around").select("tbl", "chars", F.lit(True).alias("limit"))
 
 
 def broken_pairs(answers: DataFrame) -> DataFrame:
-    """tbl, row_id, defect, shortened (its sorted neighbour goes on from it), at_limit (its length is a spike of unclosed lengths).
+    """tbl, row_id, defect, shortened (a sorted neighbour goes on inside its last word), at_limit (its length is a spike of unclosed lengths).
 
-    ``answers``: tbl, row_id, question, answer.  Only answers that the rules call truncated depend on
-    neighbours.  Their first KEY plain characters select the answers to sort, all of them by their
-    whole plain forms.
+    ``answers``: tbl, row_id, question, answer.
     """
-    judged = stored(answers.select("tbl", "row_id", "question", "answer").mapInPandas(judge, "tbl string, row_id long, defect string, chars int, prefix string, form string"), "p3-judged")
-    suspect = F.coalesce(F.col("defect") == "truncated", F.lit(False))
-    wanted = judged.where(suspect).select("prefix").distinct()
-    around = judged.select("prefix", "form", suspect.alias("suspect")).join(wanted, "prefix", "left_semi")
-    forms = around.groupBy("form").agg(F.bool_or("suspect").alias("suspect"), F.bool_or(~F.col("suspect")).alias("whole"))
-    ordered = forms.repartitionByRange("form").sortWithinPartitions("form")
-    neighbours = ordered.mapInPandas(judge_neighbours, "form string, whole boolean, shortened boolean")
-    known = stored(judged.where(suspect).join(neighbours, "form").select("tbl", "row_id", "chars", "whole", "shortened").distinct(), "p3-neighbours")
-    lengths = known.groupBy("tbl", "chars").agg(F.count("*").alias("n"))
-    usual = lengths.groupBy("tbl").agg((F.sum("n") / F.count("*")).alias("usual"))
-    spikes = lengths.join(usual, "tbl").where("n >= 8 and n > 6 * usual").select("tbl", "chars", F.lit(True).alias("at_limit"))
-    cut = known.where("not whole").join(spikes, ["tbl", "chars"], "left").select("tbl", "row_id", F.lit("truncated").alias("defect"), "shortened", F.coalesce("at_limit", F.lit(False)).alias("at_limit"))
-    other = judged.where("defect <> 'truncated'").select("tbl", "row_id", "defect", F.lit(False).alias("shortened"), F.lit(False).alias("at_limit")).distinct()
-    return other.unionByName(cut)
-
-
-#: Answers whose plain forms share their first KEY characters can be shortened versions of one another.
-KEY = 12
+    columns = "tbl string, row_id long, defect string, unclosed boolean, chars int, asked long, text string"
+    judged = stored(answers.select("tbl", "row_id", "question", "answer").mapInPandas(judge, columns), "p3-judged")
+    scope = F.when(F.length("text") >= LONG, F.lit(0)).otherwise(F.col("asked"))
+    open_ = judged.where("unclosed").withColumn("scope", scope)
+    short = open_.where("scope <> 0").select("asked").distinct()
+    usable = judged.where("text <> '' and coalesce(defect, 'truncated') = 'truncated'")
+    everywhere = usable.select(F.lit(0).cast("long").alias("scope"), "text", "unclosed")
+    within = usable.join(short, "asked", "left_semi").select(F.col("asked").alias("scope"), "text", "unclosed")
+    texts = everywhere.unionByName(within).groupBy("scope", "text").agg(F.bool_or("unclosed").alias("unclosed"))
+    known = open_.join(continuations(texts), ["scope", "text"], "left").join(length_limits(judged), ["tbl", "chars"], "left")
+    inside, closed = (F.coalesce(F.col("seen").bitwiseAND(F.lit(bit)) > 0, F.lit(False)) for bit in (1, 2))
+    limit = F.coalesce("limit", F.lit(False))
+    by_rule = F.coalesce(F.col("defect") == "truncated", F.lit(False))
+    cut = known.where(inside | limit | (by_rule & ~closed)).select("tbl", "row_id", F.lit("truncated").alias("defect"), inside.alias("shortened"), limit.alias("at_limit"))
+    other = judged.where("defect <> 'truncated'").select("tbl", "row_id", "defect", F.lit(False).alias("shortened"), F.lit(False).alias("at_limit"))
+    return other.unionByName(cut).distinct()
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
