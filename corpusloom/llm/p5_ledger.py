@@ -1,14 +1,18 @@
 """Problem 5: duplicates hidden by formatting differences, by an incremental ledger.
 
 The canonical form of a field drops white space, punctuation and letter case; a record's key is two
-64-bit hashes of its canonical fields in fixed (or, for JSON objects, sorted) order.  The ledger
-keeps one row per key -- copies, earliest representative -- in buckets of the key.  A batch is
-aggregated first, then full-outer-joined to the buckets it touches; counts are added and the
-smaller representative stays.  Untouched buckets are neither read nor written.
+64-bit hashes of its canonical fields in fixed (or, for JSON objects, sorted) order.  Keys are made in
+one pass over the input and stored by batch of first arrival; everything after reads these rows only.
+
+The ledger keeps one row per key -- copies, smallest id -- in buckets of the key, whose number follows
+from the records expected.  A batch is aggregated first, then full-outer-joined to the buckets it
+touches; counts are added and the smaller id stays.  Untouched buckets are neither read nor written.  A
+manifest beside the buckets holds the newest version of each, so a later run opens the ledger and
+pays for its own batch and the buckets of it.
 
 Null responses do not count, neither do payloads that are no JSON object.  Redelivered records
-count in the batch of their first arrival only.  A group of any size is one ledger row, made by
-partial aggregation.
+count in the batch of their first arrival only; a null arrival is the last.  A group of any size is
+one ledger row, made by partial aggregation.
 """
 
 from __future__ import annotations
@@ -18,13 +22,15 @@ import re
 import unicodedata
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from corpusloom.llm.tables import scratch, table
 
-BUCKETS = 16
+#: Buckets at least, and records for each of them.
+BUCKETS, PER_BUCKET = 16, 2_000_000
 _DROPPED = r"(?U)[\s\p{P}\p{Z}]+"
 
 
@@ -73,7 +79,10 @@ def keyed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Ledger:
-    """Canonical-key counts in buckets under one folder; every update writes new versions of the touched buckets."""
+    """Canonical-key counts in buckets under one folder; every update writes new versions of the touched buckets.
+
+    A folder that holds a ledger already is opened with its number of buckets.
+    """
 
     schema = "k1 long, k2 long, copies long, first_id long"
 
@@ -81,6 +90,19 @@ class Ledger:
         self.spark, self.path, self.buckets = spark, path, buckets
         self.versions: dict[int, int] = {}
         self.version = 0
+        self._open()
+
+    def _open(self) -> None:
+        try:
+            rows = self.spark.read.parquet(f"{self.path}/manifest").collect()  # one row for each bucket and update
+        except AnalysisException:
+            return
+        for r in sorted(rows, key=lambda r: r["version"]):
+            self.versions[r["bucket"]] = self.version = r["version"]
+            self.buckets = r["buckets"]
+
+    def bucket(self, k1: str = "k1") -> Column:
+        return F.pmod(k1, F.lit(self.buckets)).cast("int")
 
     def read(self, buckets: list[int] | None = None) -> DataFrame:
         wanted = [b for b in (self.versions if buckets is None else buckets) if b in self.versions]
@@ -97,27 +119,37 @@ class Ledger:
 
     def update(self, batch: DataFrame) -> None:
         """Add a batch (k1, k2, id; one row per record)."""
-        counted = batch.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("id").alias("low"))
-        bucket = F.pmod("k1", F.lit(self.buckets)).cast("int")
-        touched = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]  # at most ``buckets`` rows
+        touched = [r[0] for r in batch.select(self.bucket().alias("b")).distinct().collect()]  # at most ``buckets`` rows
         if not touched:
             return
-        merged = counted.join(self.read(touched), ["k1", "k2"], "full_outer").select("k1", "k2", (F.coalesce("copies", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("copies"), F.least("first_id", "low").alias("first_id"), bucket.alias("bucket"))
-        self.version += 1
-        merged.repartition("bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/v{self.version}")
-        self.versions.update(dict.fromkeys(touched, self.version))
+        counted = batch.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("id").alias("low"))
+        known = self.read(touched)
+        merged = counted.join(known, ["k1", "k2"], "full_outer").select("k1", "k2", (F.coalesce("copies", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("copies"), F.least("first_id", "low").alias("first_id"), self.bucket().alias("bucket"))
+        version = self.version + 1
+        merged.repartition("bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/v{version}")
+        rows = [(b, version, self.buckets) for b in touched]
+        self.spark.createDataFrame(rows, "bucket int, version int, buckets int").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+        self.version = version
+        self.versions.update(dict.fromkeys(touched, version))
 
 
 def first_deliveries(records: DataFrame) -> DataFrame:
-    return records.groupBy("tbl", "id").agg(F.min("arrived").alias("arrived"), F.first("k1").alias("k1"), F.first("k2").alias("k2"))
+    """tbl, id, k1, k2, batch of every record's first arrival, stored by batch (the year of the arrival)."""
+    at = F.coalesce(F.unix_micros("arrived"), F.lit(2**63 - 1))
+    first = records.withColumn("at", at).groupBy("tbl", "id").agg(F.min("at").alias("at"), F.min_by("k1", "at").alias("k1"), F.min_by("k2", "at").alias("k2"))
+    batch = F.when(F.col("at") < 2**63 - 1, F.year(F.timestamp_micros("at"))).otherwise(F.lit(9999)).alias("batch")
+    path = scratch(records.sparkSession, "p5-keys")
+    first.select("tbl", "id", "k1", "k2", batch).write.partitionBy("batch").option("compression", "zstd").parquet(path)
+    return records.sparkSession.read.schema("tbl string, id long, k1 long, k2 long, batch int").parquet(path)
 
 
 def build_ledger(spark: SparkSession, records: DataFrame) -> Ledger:
-    """The ledger of all records, fed one calendar year of first arrivals after another."""
-    ledger = Ledger(spark, scratch(spark, "p5-ledger"))
-    years = [r[0] for r in records.select(F.year("arrived").alias("y")).distinct().orderBy(F.col("y").asc_nulls_first()).collect()]
-    for y in years:
-        ledger.update(records.where(F.year("arrived").eqNullSafe(F.lit(y))).select("k1", "k2", "id"))
+    """The ledger of stored first deliveries, fed one batch after another."""
+    sizes = {r[0]: r[1] for r in records.groupBy("batch").count().collect()}
+    ledger = Ledger(spark, scratch(spark, "p5-ledger"), max(BUCKETS, -(-sum(sizes.values()) // PER_BUCKET)))
+    for batch in sorted(sizes):
+        own = records.where(F.col("batch") == batch).select("k1", "k2", "id")
+        ledger.update(own)
     return ledger
 
 
