@@ -1,7 +1,7 @@
 """Problem 1: the same or nearly the same records across splits, by a distributed suffix array.
 
 The texts' plain forms are one concatenated string, cut at record ends.  Its suffixes are shuffled to
-ranges of their first characters (splitters from a sample of them), sorted by their first characters
+ranges of their first characters (splitters from a sample), sorted by their first characters
 inside, and scanned once: neighbours with a common prefix form an interval, and every interval with
 suffixes of both split sides is a span that evaluation and training texts share.
 
@@ -48,10 +48,10 @@ CONTAINED = 0.8
 BUCKETS = 1 << 20
 #: Suffixes of an interval that one task compares with one another, on each side.
 CELL = 100_000
-#: Sampled suffixes from which the splitters are taken, at most, and every so manieth text in which large intervals are looked for; both decide on balance only.
-SAMPLE, EVERY = 1 << 16, 64
-#: Suffixes of a part and of a task, about, and tasks at most.
-PART, TASK, TASKS = 250_000, 1_000_000, 10_000
+#: Splitters and large intervals are taken from the suffixes of every so manieth text; they decide on balance only.
+EVERY = 64
+#: Suffixes of a part and of a task, about, and parts and tasks at most.
+PART, TASK, PARTS, TASKS = 100_000, 500_000, 10_000, 10_000
 
 
 def split_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,33 +90,31 @@ def bucket_of(runs: np.ndarray) -> np.ndarray:
     return (mix(runs) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def run_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """How many runs of three of all texts fall into each bucket, and a sorted sample of the runs, of SAMPLE at most."""
+def run_counts(texts: DataFrame) -> np.ndarray:
+    """How many runs of three of all texts fall into each bucket."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, lucky, luck = np.zeros(BUCKETS, np.int32), np.full(SAMPLE, -1, np.int64), np.zeros(SAMPLE, np.int64)
+        total = np.zeros(BUCKETS, np.int64)
         for df in batches:
-            row, runs, _ = runs_of_three(df["plain"].tolist())
-            total += np.bincount(bucket_of(runs), minlength=BUCKETS).astype(np.int32)
-            some = mix(df["rep"].to_numpy(np.int64).view(np.uint64)[row] + runs)
-            slot = (some % np.uint64(SAMPLE)).astype(np.int64)
-            lucky[slot], luck[slot] = runs.view(np.int64), mix(some).view(np.int64)
-        at, taken = np.flatnonzero(total), np.flatnonzero(lucky >= 0)
-        yield pd.DataFrame({"bucket": at, "n": total[at].astype(np.int64), "luck": 0})
-        yield pd.DataFrame({"bucket": -1 - taken, "n": lucky[taken], "luck": luck[taken]})
-
-    counted = texts.select("rep", "plain").mapInPandas(count, "bucket long, n long, luck long")
-    got = counted.groupBy("bucket").agg(F.when(F.col("bucket") >= 0, F.sum("n")).otherwise(F.min_by("n", "luck")).alias("n")).toArrow().to_pandas()  # BUCKETS + SAMPLE rows at most
-    bucket, n = got["bucket"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
+            total += np.bincount(bucket_of(runs_of_three(df["plain"].tolist())[1]), minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"bucket": at, "n": total[at]})
+
+    got = texts.select("plain").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
     counts = np.zeros(BUCKETS, np.int64)
-    counts[bucket[bucket >= 0]] = n[bucket >= 0]
-    return counts, np.sort(n[bucket < 0])
+    counts[got["bucket"].to_numpy()] = got["n"].to_numpy()
+    return counts
+
+
+def some_of(texts: DataFrame) -> DataFrame:
+    return texts.where(F.pmod(F.xxhash64("rep"), F.lit(EVERY)) == 0)
 
 
-def splitters_of(sample: np.ndarray, suffixes: int) -> np.ndarray:
-    """First runs of the parts after the first."""
-    parts = max(1, min(-(-suffixes // PART), len(sample)))
-    return sample[np.arange(1, parts) * len(sample) // parts]
+def splitters_of(sample: DataFrame, suffixes: int) -> np.ndarray:
+    """First characters (k1) of the parts after the first, by the sampled suffixes."""
+    parts = max(1, min(-(-suffixes // PART), PARTS))
+    at = sample.select(F.percentile_approx("k1", [i / parts for i in range(1, parts)] or [0.5], 10 * PARTS).alias("at")).first()["at"]
+    return np.unique(np.array(at if at and parts > 1 else [], np.int64))
 
 
 def sorted_parts(array: DataFrame, suffixes: int, *order: str) -> DataFrame:
@@ -177,7 +175,7 @@ RARE = "part int, cell int, k1 long, kind long, rep long, m1 long, m2 long, runs
 
 
 def large_intervals(suffixes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Heads of the intervals of about CELL suffixes or more, by the suffixes of every EVERY-th text, and their cells on a side; at most a number of heads like the runs of three in use."""
+    """Heads of the intervals of about CELL suffixes or more, by the suffixes of every EVERY-th text, and their cells on a side; one row for CELL suffixes at most."""
     heads = suffixes.groupBy("k1").agg(F.count("*").alias("n")).where(F.col("n") * EVERY >= CELL).orderBy("k1").toArrow().to_pandas()
     return heads["k1"].to_numpy(np.int64), -(-heads["n"].to_numpy(np.int64) * EVERY // CELL) + 1
 
@@ -244,14 +242,13 @@ def shared_spans(threshold: float, chunk: int = 1 << 20):
 
 def cross_split_pairs(texts: DataFrame, threshold: float = LIKENESS) -> DataFrame:
     """tbl, rep_eval, rep_train, likeness of every pair of distinct texts (tbl, kind, rep, plain) of both sides that reaches the likeness."""
-    counts, sample = run_counts(texts)
-    splitters, total = splitters_of(sample, int(counts.sum())), int(counts.sum())
+    counts = run_counts(texts)
+    total = int(counts.sum())
     shared = texts.sparkSession.sparkContext.broadcast(counts)  # 8 MB
     plain = texts.select("kind", "rep", "plain")
-    none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    some = plain.where(F.pmod(F.xxhash64("rep"), F.lit(EVERY)) == 0)
-    grid = large_intervals(some.mapInPandas(rare_suffixes(shared, splitters, none, threshold), RARE))
-    suffixes = plain.mapInPandas(rare_suffixes(shared, splitters, grid, threshold), RARE)
+    none = np.zeros(0, np.int64)
+    sample = stored(some_of(plain).mapInPandas(rare_suffixes(shared, none, (none, none), threshold), RARE).select("k1"), "p1-sample")
+    suffixes = plain.mapInPandas(rare_suffixes(shared, splitters_of(sample, total), large_intervals(sample), threshold), RARE)
     array = sorted_parts(suffixes, total, "k1", "cell", "kind")
     met = stored(array.mapInPandas(shared_spans(threshold), "rep_eval long, rep_train long, kind long").distinct(), "p1-spans")
     train, ev = (F.col("kind").bitwiseAND(F.lit(1)) == side for side in (0, 1))
@@ -319,9 +316,10 @@ def adjacent_spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def coverage(texts: DataFrame) -> DataFrame:
     """tbl, rep, coverage: of every distinct evaluation text, the share of its characters in the union of the spans it shares with training texts."""
-    counts, sample = run_counts(texts)
-    total = int(counts.sum())
-    array = texts.select("kind", "rep", "plain").mapInPandas(all_suffixes(splitters_of(sample, total)), FULL)
+    plain = texts.select("kind", "rep", "plain")
+    total = int(texts.select(F.sum(F.length("plain"))).first()[0] or 0)
+    splitters = splitters_of(some_of(plain).mapInPandas(all_suffixes(np.zeros(0, np.int64)), FULL), total)
+    array = plain.mapInPandas(all_suffixes(splitters), FULL)
     array = sorted_parts(array.withColumn("tbl", F.shiftright("kind", 1)), total, "tbl", *WORDS, "kind").drop("tbl")
     spans = array.mapInPandas(adjacent_spans, "kind long, rep long, at long")
     earlier = F.lag("at").over(Window.partitionBy("kind", "rep").orderBy("at"))  # the positions of one text

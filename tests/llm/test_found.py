@@ -1,6 +1,7 @@
 """The pN_found queries on small tables against brute force and by cases."""
 
 import random
+import unicodedata
 
 import numpy as np
 import pandas as pd
@@ -99,7 +100,9 @@ def test_p1_cuts_large_intervals_into_cells(spark, tables, pool, t0, monkeypatch
     for name, value in (("CELL", 3), ("EVERY", 1), ("PART", 50), ("TASK", 50)):
         monkeypatch.setattr(p1, name, value)
     texts, _ = p1.representatives(p1.split_texts(spark, d))
-    heads, sides = p1.large_intervals(texts.mapInPandas(p1.rare_suffixes(spark.sparkContext.broadcast(np.zeros(p1.BUCKETS, np.int64)), np.zeros(0, np.int64), (np.zeros(0, np.int64),) * 2, 0.6), p1.RARE))
+    none = np.zeros(0, np.int64)
+    counts = spark.sparkContext.broadcast(p1.run_counts(texts))
+    heads, sides = p1.large_intervals(texts.mapInPandas(p1.rare_suffixes(counts, none, (none, none), 0.6), p1.RARE))
     assert len(heads) and sides.max() > 1
     assert pairs(p1.p1_found(spark, d)) == want and want
 
@@ -176,6 +179,9 @@ CASES = [
     (Q, "手腕；鼻翼；后颈", None),
     ("3+7=?", "10", None),
     (None, "请观察睡眠。", None),
+    (Q, unicodedata.normalize("NFD", "찬 음식은 당분간 피하세요. 식사 후 변화를 살펴보세요."), "other_language"),
+    ("头疼", "头疼。", "copied_question"),
+    ("头疼", "头疼可先休息。", None),
 ]
 
 
@@ -200,6 +206,48 @@ def test_p3(spark, tables, t0):
     assert judged[102]["shortened"] and judged[102]["defect"] == "truncated"
 
 
+def test_p3_finds_by_the_sort_what_the_rules_hold_for_whole(spark, tables, t0, monkeypatch):
+    whole = "请先观察舌面颜色，留意睡眠，再看趋势。"
+    long_list = "苍盘芝、朱岚芝、岭筋实、雪穗芝"
+    cases = [(1, Q, whole), (2, Q, "请先观察舌"), (3, "别的问题是什么", "请先观察舌"), (4, "部位", "手腕；脚跟；舌尖"), (5, "部位", "手腕；脚"), (6, "部位", "手腕；脚跟"), (7, "药", long_list), (8, "另问", long_list[:-1]), (9, "另问二", long_list[:-4])]
+    assert [p3.defect(q, a) for _, q, a in cases] == [None] * len(cases)
+    d = tables(qa_records=[(i, "s", None, q, a, None, t0) for i, q, a in cases])
+    want = {("qa_records", i, "truncated") for i in (2, 5, 8)}
+    assert pairs(p3.p3_found(spark, d)) == want
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    try:  # a range for every text
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        assert pairs(p3.p3_found(spark, d)) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_p3_of_answers_at_a_length_limit(spark, tables, t0):
+    rng = random.Random(5)
+    rows = [(i, "s", None, Q, text(rng, 20) + "。" + text(rng, 7) + "。" + text(rng, 20 + i % 9) + "。", None, t0) for i in range(90)]
+    rows += [(100 + i, "s", None, Q, text(rng, 111) + "。希望对您有帮助", None, t0) for i in range(12)]
+    rows += [(200 + i, "s", None, Q, text(rng, 30 + i) + "。希望对您有帮助", None, t0) for i in range(12)]
+    assert pairs(p3.p3_found(spark, tables(qa_records=rows))) == {("qa_records", 100 + i, "truncated") for i in range(12)}
+
+
+@given(st.lists(st.tuples(st.text("手腕；。", min_size=1, max_size=5), st.booleans()), max_size=30))
+def test_continuations_of_one_range(items):
+    texts = dict(items)
+    df = pd.DataFrame(sorted((0, t, u) for t, u in texts.items()), columns=["scope", "text", "unclosed"])
+    out = pd.concat(list(p3.follow(iter([df[:7], df[7:]]))))
+    want = {}
+    for t, u in texts.items():
+        if u:
+            want[t] = 0
+            for other in texts:
+                if other != t and other.startswith(t):
+                    want[t] |= p3.goes_on(t, other)
+    assert dict(zip(out["text"], out["seen"], strict=True)) == want
+
+
 def test_p4(spark, tables, t0):
     qs = ["Ａ口干，", "A⼝干,", "A口干,", "a口干,", "A 口干,", None, "x", "x", "", "​"]
     api = [(100, "A口干,"), (101, "A​口干，"), (102, None)]
