@@ -283,7 +283,7 @@ def literal_facts(spark, d):
     return _api(spark, d).select("req_no", T.literal_facts("text").alias("l")).select("req_no", F.size("l").alias("n"), F.array_join("l", "|").alias("items"))
 
 
-_per_row("str_28_without_negated", "record_id", QA, _qa, lambda: T.without_negated("query"), "regexp_replace(query, '(?:请)?(?:不要|不)(?:作|做|加入|添加|提供|给出|推断)?[^。！？；.!?;]{0,36}(?:诊断|辨证|建议|方案|病因)[^。！？；.!?;]{0,36}', '', 'g')")
+_per_row("str_28_without_negated", "record_id", QA, _qa, lambda: T.without_negated("query"), f"regexp_replace(query, {quoted(T.NEGATED)}, '', 'g')")
 _per_row("str_29_markdown_cell", "record_id", QA, _qa, lambda: T.markdown_cell("response"), "replace(replace(response, '|', '\\|'), chr(10), '<br>')")
 
 
