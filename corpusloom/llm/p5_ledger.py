@@ -135,7 +135,7 @@ class Ledger:
 
 def first_deliveries(records: DataFrame) -> DataFrame:
     """tbl, id, k1, k2, batch of every record's first arrival, stored by batch (the year of the arrival)."""
-    at = F.coalesce(F.unix_micros("arrived"), F.lit(2**63 - 1))
+    at = F.coalesce(F.unix_micros(F.col("arrived").cast("timestamp")), F.lit(2**63 - 1))
     first = records.withColumn("at", at).groupBy("tbl", "id").agg(F.min("at").alias("at"), F.min_by("k1", "at").alias("k1"), F.min_by("k2", "at").alias("k2"))
     batch = F.when(F.col("at") < 2**63 - 1, F.year(F.timestamp_micros("at"))).otherwise(F.lit(9999)).alias("batch")
     path = scratch(records.sparkSession, "p5-keys")
