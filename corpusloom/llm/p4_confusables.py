@@ -1,6 +1,6 @@
 """Problem 4: visually identical text with different characters, by a confusables skeleton.
 
-Every text is decomposed, each character is replaced by its prototype from the look-alike table,
+Every text is read and decomposed once, each character is replaced by its prototype from the look-alike table,
 and the result is decomposed again (``forms.skeleton``).  Texts are grouped by equal skeletons; the
 shuffle carries two 64-bit keys of the skeleton and one of the text, never the text.
 
@@ -41,8 +41,9 @@ def look_alike_members(texts: DataFrame) -> DataFrame:
     """id, s1, s2 (skeleton keys), t (text key) of records whose skeleton stands for two different texts or more."""
     keyed = texts.where("text is not null").select("id", F.xxhash64("text").alias("t"), skeleton_column("text").alias("form"))
     keyed = keyed.select("id", "t", F.xxhash64("form").alias("s1"), F.xxhash64(F.lit(29), "form").alias("s2"))
+    keyed = stored(keyed.distinct(), "p4-keys")
     mixed = keyed.groupBy("s1", "s2").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low <> high").select("s1", "s2")
-    return keyed.join(mixed, ["s1", "s2"], "left_semi").distinct()
+    return keyed.join(mixed, ["s1", "s2"], "left_semi")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
