@@ -32,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_collapsed": p5.p5_collapsed,
         "p6_found": p6.p6_found,
         "p6_clean": p6.p6_clean,
+        "p6_clean_spans": p6.p6_clean_spans,
         "p7_ids": p7.p7_ids,
         "p8_containers": p8.p8_containers,
         "p8_fill": p8.p8_fill,

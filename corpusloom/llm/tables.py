@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,11 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the cluster's spark.checkpoint.dir; a local one only where it is unset."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder that all executors share: the cluster's spark.checkpoint.dir; where it is unset, a local one for a local master, deleted at exit."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or getattr(spark, "_loom_checkpoint_dir", None)
     if not known:
-        known = getattr(spark, "_loom_checkpoint_dir", None) or f"file://{tempfile.mkdtemp(prefix='loom-')}"
-        spark._loom_checkpoint_dir = known
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="loom-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        known = spark._loom_checkpoint_dir = f"file://{path}"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(known)
     return known

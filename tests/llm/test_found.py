@@ -139,13 +139,29 @@ def test_p2(spark, tables, pool, t0):
     rows = [(i, "s", None, t, None if i % 7 == 0 else "答", None, t0) for i, t in enumerate(pool)]
     d = tables(qa_records=rows + rows[:9])
     full = [plain(r[3] or "") + plain(r[4] or "") for r in rows]
-    want = {(i, j) for i in range(len(full)) for j in range(i + 1, len(full)) if jaccard(full[i], full[j]) >= 0.6}
+    want = {(i, j) for i in range(len(full)) for j in range(i + 1, len(full)) if jaccard(full[i], full[j]) >= 0.6 or full[i] == full[j] != ""}
     assert pairs(p2.p2_found(spark, d)) == want
+    found, members = p2.near_duplicates(p2.qa_records(spark, d), exact=True)
+    rep = {r["id"]: r["rep"] for r in members.collect()}
+    assert {tuple(sorted((rep[a], rep[b]))) for a, b in want if rep[a] != rep[b]} == pairs(found.select("a", "b"))
     groups = {r["id"]: r["group_id"] for r in p2.p2_groups(spark, d).collect()}
     assert set(groups) == {x for p in want for x in p}
     assert all(groups[a] == groups[b] for a, b in want)
 
 
+def test_p2_cuts_large_anchors_into_cells(spark, monkeypatch):
+    rng = random.Random(3)
+    base = text(rng, 200)
+    rows = [(i, edited(rng, base, 3), "答" + str(i)) for i in range(40)] + [(100, "短", None), (101, None, "短"), (102, "。", None), (103, "", "。")]
+    df = spark.createDataFrame(rows, "id long, query string, response string")
+    whole = pairs(p2.near_duplicates(df)[0].select("a", "b"))
+    monkeypatch.setattr(p2, "CELL", 4)
+    monkeypatch.setattr(p2, "EVERY", 1)
+    found, members = p2.near_duplicates(df)
+    assert pairs(found.select("a", "b")) == whole and len(whole) > 100
+    assert {tuple(r) for r in members.where("id >= 100").collect()} == {(100, 100), (101, 100)}
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 150)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -281,8 +297,8 @@ def test_p5_ledger_in_batches_equals_one(spark, tmp_path):
     assert p5.Ledger(spark, str(tmp_path / "c")).read().count() == 0
 
 
-@pytest.mark.parametrize("most", [4_000_000, 3])
-def test_p6(spark, tables, most):
+@pytest.mark.parametrize("bits", [1 << 26, 64])
+def test_p6(spark, tables, bits):
     rng = random.Random(9)
     items = [text(rng, 100) for _ in range(12)] + [text(rng, 59), None, ""]
     docs = [None, "", "短"]
@@ -302,12 +318,29 @@ def test_p6(spark, tables, most):
             q = plain(it or "")
             if any(q[k : k + 60] in p for k in range(len(q) - 59)):
                 want.add((i, j))
-    got = p6.leaks(p6.table(spark, d, "documents"), p6.test_items(spark, d), max_anchors=most)
+    got = p6.leaks(p6.table(spark, d, "documents"), p6.test_items(spark, d), bits=bits)
     assert pairs(got.select("doc_id", "item_id")) == want and want
     assert {r["doc_id"] for r in p6.p6_clean(spark, d).collect()} == set(range(len(docs))) - {a for a, _ in want}
+    cleaned = {r["doc_id"]: r for r in p6.p6_clean_spans(spark, d).collect()}
+    assert set(cleaned) == set(range(len(docs)))
+    held = [plain(x or "") for x in [*items, items[0] + "尾"]]
+    for i, t in enumerate(docs):
+        r, p = cleaned[i], plain(t or "")
+        bad = [any(p[k : k + 60] in q for q in held) for k in range(len(p) - 59)]
+        keep = [c for k, c in enumerate(p) if not any(bad[max(0, k - 59) : k + 1])]
+        assert plain(r["text"] or "") == "".join(keep) and (r["removed"] > 0) == (i in {a for a, _ in want})
+        assert (r["text"] is None) == (t is None) and r["removed"] == len(t or "") - len(r["text"] or "")
+
+
+def test_spans_leave_the_text_around_them():
+    t = "a é。" + "舌面  颜色，" * 3 + "e\u0301 尾"
+    places = p6.plain_places(t)
+    assert len(places) == len(plain(t)) and t[slice(*places[-2])] == "e\u0301"
+    assert p6.without_spans(t, [2, 3], 10) == "a é。色，e\u0301 尾"
+    assert p6.without_spans(t, [], 10) == t and p6.without_spans(t, [0, 8], 8) == ""
 
 
-@pytest.mark.parametrize("query", [p1.p1_found, p1.p1_report, p2.p2_found, p2.p2_groups, p3.p3_found, p3.p3_report, p4.p4_found, p4.p4_forms, p5.p5_found, p5.p5_collapsed, p6.p6_found, p6.p6_clean])
+@pytest.mark.parametrize("query", [p1.p1_found, p1.p1_report, p2.p2_found, p2.p2_groups, p3.p3_found, p3.p3_report, p4.p4_found, p4.p4_forms, p5.p5_found, p5.p5_collapsed, p6.p6_found, p6.p6_clean, p6.p6_clean_spans])
 def test_empty_tables(spark, tables, query):
     assert query(spark, tables()).count() == 0
 
