@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,22 +29,23 @@ def independent_first(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     ``nodes``: id (its order); ``edges``: a < b in conflict.  A node is kept if no kept earlier node
     conflicts with it; ``by`` is the earliest kept one otherwise.  Each round decides every node all of
-    whose earlier neighbours are decided, so rounds are bounded by the longest chain; each is stored.
+    whose earlier neighbours are decided, so rounds are bounded by the longest chain.  Nodes that are
+    decided, and their edges, leave the next round; what is left is stored.
     """
-    edges = stored(edges.select("a", "b").where("a < b").distinct(), "mis-edges")
-    state = stored(nodes.select("id", F.lit(None).cast("boolean").alias("kept"), F.lit(None).cast("long").alias("by")), "mis-state")
-    open_edges = edges
+    edges = stored(edges.select("a", "b", F.lit(False).alias("a_kept")).where("a < b").distinct(), "mis-edges")
+    open_nodes = nodes.select("id")
+    decided: list[DataFrame] = []
     while True:
-        earlier = open_edges.join(state.select(F.col("id").alias("a"), F.col("kept").alias("a_kept")), "a")
-        seen = earlier.groupBy("b").agg(F.count_if(F.expr("a_kept is null")).alias("undecided"), F.min(F.when(F.col("a_kept"), F.col("a"))).alias("first_kept"))
-        judged = state.where("kept is null").join(seen, F.col("id") == F.col("b"), "left")
-        kept = F.when(F.col("first_kept").isNotNull() & (F.col("undecided") == 0), F.lit(False)).when(F.coalesce("undecided", F.lit(0)) == 0, F.lit(True))
-        gone = F.col("first_kept").isNotNull() & (F.coalesce("undecided", F.lit(0)) == 0)
-        new = judged.select("id", kept.alias("kept"), F.when(gone, F.col("first_kept")).alias("by"))
-        state = stored(state.where("kept is not null").unionByName(new), "mis-state")
-        left = state.agg(F.count_if(F.expr("kept is null"))).first()[0]
-        if not left:
-            return state
+        seen = edges.groupBy(F.col("b").alias("id")).agg(F.count_if(~F.col("a_kept")).alias("undecided"), F.min(F.when(F.col("a_kept"), F.col("a"))).alias("by"))
+        judged = stored(open_nodes.join(seen, "id", "left").select("id", (F.coalesce("undecided", F.lit(0)) == 0).alias("decided"), "by"), "mis-state")
+        new = judged.where("decided").select("id", F.col("by").isNull().alias("kept"), "by")
+        decided.append(new)
+        open_nodes = judged.where("not decided").select("id")
+        if open_nodes.isEmpty():
+            return functools.reduce(DataFrame.unionByName, decided)
+        fate = new.select(F.col("id").alias("a"), F.col("kept").alias("new_kept"))
+        rest = edges.join(open_nodes.select(F.col("id").alias("b")), "b", "left_semi").join(fate, "a", "left").where("new_kept is null or new_kept")
+        edges = stored(rest.select("a", "b", (F.col("a_kept") | F.col("new_kept").isNotNull()).alias("a_kept")), "mis-edges")
 
 
 def near_dedup(rows: DataFrame, edges: DataFrame, order: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -92,10 +92,9 @@ def bind_reviews(cases: DataFrame, reviews: DataFrame) -> DataFrame:
 def curve_summary(curve: DataFrame, step: str = "step", loss: str = "loss", edge: int = 5) -> DataFrame:
     """Median of the first and last points, percent change, minimum with its first step."""
     known = curve.where(F.col(loss).isNotNull() & ~F.isnan(loss))
-    a, z = F.row_number().over(Window.orderBy(step)), F.row_number().over(Window.orderBy(F.desc(step)))  # one row per training step
-    marked = known.withColumns({"_a": a, "_z": z})
-    first, last = F.median(F.when(F.col("_a") <= edge, F.col(loss))), F.median(F.when(F.col("_z") <= edge, F.col(loss)))
-    out = marked.agg(first.alias("first_median"), last.alias("last_median"), F.min(loss).alias("min_loss"), F.min_by(step, F.struct(loss, step)).alias("min_step"))
+    ends = [known.orderBy(o).limit(edge).agg(F.median(loss).alias(name)) for o, name in ((F.asc(step), "first_median"), (F.desc(step), "last_median"))]
+    least = known.agg(F.min(loss).alias("min_loss"), F.min_by(step, F.struct(loss, step)).alias("min_step"))
+    out = ends[0].crossJoin(ends[1]).crossJoin(least)  # one row each
     return out.withColumn("change_percent", rate(100 * (F.col("last_median") - F.col("first_median")), F.col("first_median")))
 
 

@@ -6,6 +6,8 @@ its counts are the same and its members are those of any engine with SHA-256.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,11 +30,27 @@ def held_out_count(total: Column, share: float = 0.2) -> Column:
     return F.when(total <= 1, 0).otherwise(F.least(F.greatest(F.bround(total * share).cast("long"), F.lit(1)), total - 1))
 
 
+def _digits(h: Column) -> Column:
+    """The first 16 bits of a hex digest."""
+    return F.conv(F.left(h, F.lit(4)), 16, 10).cast("int")
+
+
 def stratified_split(rows: DataFrame, stratum: str, key: str, seed: int = 42, share: float = 0.2) -> DataFrame:
-    """Rows with part: heldout or train, per stratum by hash order."""
-    w = Window.partitionBy(stratum)
-    place = F.row_number().over(w.orderBy(hash_order(seed, F.col(key))))
-    return rows.withColumns({"_place": place, "_total": F.count("*").over(w)}).withColumn("part", F.when(F.col("_place") <= held_out_count(F.col("_total"), share), "heldout").otherwise("train")).drop("_place", "_total")
+    """Rows with part: heldout or train, per stratum by hash order.
+
+    Hashes are counted by their first 16 bits; only rows of the bucket in which the count of a stratum is
+    reached are ranked, so a stratum of any size stays spread.
+    """
+    hashed = rows.withColumn("_h", hash_order(seed, F.col(key))).withColumn("_d", _digits(F.col("_h")))
+    counts = hashed.groupBy(F.col(stratum).alias("_s"), "_d").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("_s")  # 65,536 rows at most
+    running = counts.select("_s", "_d", held_out_count(F.sum("n").over(w), share).alias("want"), F.sum("n").over(w.orderBy("_d")).alias("upto"), "n")
+    border = running.where(F.col("upto") >= F.col("want")).groupBy("_s").agg(F.min_by("_d", "_d").alias("_edge"), F.min_by(F.col("want") - F.col("upto") + F.col("n"), "_d").alias("_rest"))
+    marked = hashed.join(border, F.col(stratum).eqNullSafe(F.col("_s"))).drop("_s")
+    inner = marked.where("_d = _edge").withColumn("_place", F.row_number().over(Window.partitionBy(stratum).orderBy("_h")))
+    outer = marked.where("_d <> _edge").withColumn("_place", F.lit(None).cast("int"))
+    held = F.when(F.col("_place").isNull(), F.col("_d") < F.col("_edge")).otherwise(F.col("_place") <= F.col("_rest"))
+    return inner.unionByName(outer).withColumn("part", F.when(held, "heldout").otherwise("train")).drop("_h", "_d", "_edge", "_rest", "_place")
 
 
 def three_way_split(rows: DataFrame, key: str, seed: int = 42, validation: float = 1.0, test: float = 1.0) -> DataFrame:
@@ -48,12 +66,18 @@ def three_way_split(rows: DataFrame, key: str, seed: int = 42, validation: float
 def exact_validation(rows: DataFrame, key: str, percent: float, seed: int = 42) -> DataFrame:
     """Rows with part; ceil(n * percent / 100) of them are validation, by hash order.
 
-    The threshold is the hash of that rank: one scan for the count, one top-n, one filter.
+    The threshold is the hash of that rank: counts by the first 16 bits name its bucket, and only the
+    bucket is sorted.
     """
-    n = F.ceil(F.count("*") * percent / 100).cast("long")
-    ranked = rows.select(hash_order(seed, F.col(key)).alias("_h"))
-    most = ranked.agg(n.alias("n")).first()["n"]
-    limit = ranked.orderBy("_h").limit(most).agg(F.max("_h").alias("h")).first()["h"] if most else None
+    hashes = rows.select(hash_order(seed, F.col(key)).alias("_h")).withColumn("_d", _digits(F.col("_h")))
+    counts = sorted(hashes.groupBy("_d").count().collect())  # 65,536 rows at most
+    most = math.ceil(round(sum(c["count"] for c in counts) * percent / 100, 9))
+    limit = None
+    for c in counts:
+        if 0 < most <= c["count"]:
+            limit = hashes.where(F.col("_d") == c["_d"]).orderBy("_h").limit(most).agg(F.max("_h").alias("h")).first()["h"]
+            break
+        most -= c["count"]
     return rows.withColumn("part", F.when(hash_order(seed, F.col(key)) <= F.lit(limit), "validation").otherwise("train"))
 
 
@@ -87,8 +111,7 @@ def retained_checkpoints(history: DataFrame, metrics: list[str], k: int, step: s
     """Union over metrics of the k best steps (larger step on ties), and the current one."""
     out = None
     for m in metrics:
-        w = Window.orderBy(F.desc(m), F.desc(step))  # a training history has one row per evaluation
-        one = history.where(F.col(m).isNotNull()).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).select(step)
+        one = history.where(F.col(m).isNotNull()).orderBy(F.desc(m), F.desc(step)).limit(k).select(step)
         out = one if out is None else out.union(one)
     if current is not None:
         out = out.union(history.where(F.col(step) == current).select(step))

@@ -91,7 +91,7 @@ def jaccard_references(spark, d):
 @query("join_05_nearest_reference", f"SELECT x.id AS a, arg_max({{'b': y.id}}, (round(len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))), 12), -y.id)).b AS b, round(max(len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)))), 9) AS score FROM (SELECT * FROM {RLG} WHERE id % 2 = 0) x JOIN (SELECT * FROM {RLG} WHERE id % 2 = 1) y ON len(list_intersect(x.g, y.g)) > 0 GROUP BY 1")
 def nearest_reference(spark, d):
     n = _norm_rl(spark, d)
-    return J.nearest(J.shared_grams(n.where("id % 2 = 0"), n.where("id % 2 = 1"), 3, "whole", None)).withColumn("score", F.round("score", 9))
+    return J.nearest(J.shared_grams(n.where("id % 2 = 0"), n.where("id % 2 = 1"), 3)).withColumn("score", F.round("score", 9))
 
 
 PARTS_SQL = "(SELECT DISTINCT regexp_extract(question, '^(.{2,8}?)(?:由哪些药组成|常与什么同放|是怎样处理的|时会记录)', 1) AS name FROM rl_samples WHERE length(regexp_extract(question, '^(.{2,8}?)(?:由哪些药组成|常与什么同放|是怎样处理的|时会记录)', 1)) >= 2)"

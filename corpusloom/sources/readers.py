@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType, StructType
 
 from corpusloom.functions.jsonx import strict_json_error
 from corpusloom.functions.text import markdown_to_plain
+from corpusloom.session import stored
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -106,8 +107,19 @@ def denylist(spark: SparkSession, path: str) -> DataFrame:
 
 
 def slice_percent(rows: DataFrame, order: list, percent: float) -> DataFrame:
-    """The first percent of rows in a total order."""
-    return rows.orderBy(*order).limit(int(rows.count() * percent / 100))
+    """The first percent of rows in a total order.
+
+    Rows are sorted over ranges and stored with their place in the range, so no task sees them all.
+    """
+    at = F.monotonically_increasing_id()
+    ordered = stored(rows.orderBy(*order).withColumn("_at", at), "slice")
+    ranges = sorted(ordered.groupBy(F.shiftright("_at", 33).alias("range")).count().collect())  # one row for each range
+    left = int(sum(r["count"] for r in ranges) * percent / 100)
+    for r in ranges:
+        if left <= r["count"]:
+            return ordered.where(F.col("_at") < (r["range"] << 33) + left).drop("_at")
+        left -= r["count"]
+    return ordered.limit(0).drop("_at")
 
 
 def lazy_files(spark: SparkSession, path: str, schema: StructType | str, per_trigger: int = 1) -> DataFrame:
