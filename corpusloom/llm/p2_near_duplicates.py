@@ -41,6 +41,8 @@ LIKENESS = 0.6
 AGREEING = 13
 #: Fingerprints of an anchor that one task compares, on each side; anchors of more are looked for among those of every EVERY-th text.
 CELL, EVERY = 20_000, 64
+#: Anchor rows of a task, about, and tasks at most.
+TASK, TASKS = 250_000, 10_000
 
 
 def fingerprints(blocks: int, width: int):
@@ -75,8 +77,8 @@ def cells_of(placed: DataFrame, left: bool) -> DataFrame:
     return placed.withColumn("cell", F.explode(F.when(F.col("width") > 1, cells).otherwise(F.array(F.lit(0).cast("long")))))
 
 
-def met_at_anchors(reps: DataFrame) -> DataFrame:
-    """a < b of representatives (rep, m1, m2, anchors) that share an anchor and agree in AGREEING marks."""
+def met_at_anchors(reps: DataFrame, rows: int) -> DataFrame:
+    """a < b of representatives (rep, m1, m2, anchors) that share an anchor and agree in AGREEING marks; ``rows``: anchors in all, about."""
     placed = reps.select(F.explode("anchors").alias("anchor"), "rep", "m1", "m2")
     sample = placed.where(F.pmod(F.xxhash64("rep"), F.lit(EVERY)) == 0)
     large = stored(sample.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") * EVERY >= CELL).select("anchor", (F.ceil(F.col("n") * EVERY / CELL) + 1).cast("long").alias("width")), "p2-large")
@@ -84,7 +86,8 @@ def met_at_anchors(reps: DataFrame) -> DataFrame:
     if not large.isEmpty():
         wide = placed.join(large, "anchor", "left").withColumn("width", F.coalesce("width", F.lit(1).cast("long")))
         sides = [cells_of(wide, left) for left in (True, False)]
-    a, b = sides[0].alias("a"), sides[1].alias("b")
+    tasks = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(rows // TASK, TASKS))
+    a, b = (s.repartition(tasks, "anchor", "cell").alias(n) for s, n in zip(sides, "ab", strict=True))
     met = (F.col("a.anchor") == F.col("b.anchor")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.rep") < F.col("b.rep")) & (agreeing(F.col("a.m1"), F.col("b.m1")) + agreeing(F.col("a.m2"), F.col("b.m2")) >= AGREEING)
     return a.join(b, met).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
 
@@ -104,7 +107,7 @@ def near_duplicates(records: DataFrame, threshold: float = LIKENESS, blocks: int
         both = stored(plain.select("tbl", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("kind"), "rep", "plain"), "p2-exact")
         pairs = cross_split_pairs(both, threshold).where("rep_eval < rep_train")
         return pairs.select(F.col("rep_eval").alias("a"), F.col("rep_train").alias("b"), "likeness"), members
-    candidates = stored(met_at_anchors(reps), "p2-candidates")
+    candidates = stored(met_at_anchors(reps, prints.count() * blocks * width), "p2-candidates")
     ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = records.join(ids, "id").groupBy("id").agg(F.first("query").alias("query"), F.first("response").alias("response"))
     texts = stored(texts.select("id", F.concat(plain_column("query"), plain_column("response")).alias("plain")), "p2-texts")
