@@ -91,7 +91,7 @@ def concept_states(concepts: Mapping[str, tuple[Sequence[str], Sequence[str]]]):
     return states
 
 
-# A small set of warning concepts, positive and negative patterns.
+#: A small set of warning concepts as an example: positive and negative patterns.
 WARNING_CONCEPTS = {
     "chest_pain": (["胸(?:口|前|部)?.{0,6}(?:疼|痛)"], ["(?:没有|无|没|不)(?:.{0,3})胸(?:口|前|部)?.{0,4}(?:疼|痛)"]),
     "dyspnea": (["呼吸.{0,4}(?:困难|费劲|费力)|喘不上|上不来气|气短"], ["(?:没有|无|没|不).{0,3}(?:呼吸.{0,3}(?:困难|费劲)|气短)"]),

@@ -118,6 +118,7 @@ def token_accuracy(rows: DataFrame, predicted: str, labels: str, ignore: int = -
     return counted.agg(F.avg((F.col("t.p") == F.col("t.l")).cast("double")).alias("accuracy"), F.count("*").alias("tokens"))
 
 
-def replayed(rows: DataFrame, key: str, once: Column, again: Column) -> DataFrame:
-    """Rows where two evaluations of a deterministic function differ."""
-    return rows.select(key, once.alias("once"), again.alias("again")).where(~F.col("once").eqNullSafe(F.col("again")))
+def replayed(rows: DataFrame, key: str, once: Column, stored_once: DataFrame, name: str) -> DataFrame:
+    """One row: keys, those whose stored output (key, ``name``) a new evaluation does not repeat, and the characters of all outputs."""
+    both = rows.select(key, once.alias("_again")).join(stored_once.select(key, name), key, "full_outer")
+    return both.agg(F.count("*").alias("compared"), F.count_if(~F.col("_again").eqNullSafe(F.col(name))).alias("differing"), F.sum(F.length("_again")).alias("chars"))

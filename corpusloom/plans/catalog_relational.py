@@ -295,10 +295,11 @@ def lengths(spark, d):
     return _qa(spark, d).agg(F.round(F.median(n), 6).alias("median_length"), F.round(F.percentile(n, F.lit(0.95)), 6).alias("p95"), F.count_if(n > 240).alias("too_long"))
 
 
-@query("agg_18_accounting", f"SELECT CAST(count(*) AS BIGINT) AS source_rows, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS foreign FROM {QA}".replace("AS foreign", 'AS "foreign"'))
+@query("agg_18_accounting", f"""SELECT count(*) FILTER (split = 'train') AS source_rows, count(*) FILTER (split = 'train' AND response IS NULL AND query_norm IS NOT NULL) AS missing, count(*) FILTER (response IS NOT NULL AND query_norm IS NULL) AS repeated, count(*) FILTER (coalesce(split, '') <> 'train' AND (response IS NOT NULL OR query_norm IS NULL)) AS "foreign" FROM {QA}""")
 def accounting(spark, d):
-    r = _qa(spark, d).select("record_id", F.size(reason_codes()).alias("n"))
-    return L.accounting(r, r.where("n = 0"), r.where("n > 0"), "record_id")
+    """Accepted: with a response; rejected: without a normalized query, wherever they stand; the source is the train split."""
+    r = _qa(spark, d)
+    return L.accounting(r.where("split = 'train'"), r.where("response is not null"), r.where("query_norm is null"), "record_id")
 
 
 QUOTAS = [("train", "dose_refusal", 10), ("heldout", "dose_refusal", 1), ("development", "diagnosis_refusal", 2)]

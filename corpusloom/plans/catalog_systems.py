@@ -17,9 +17,9 @@ from corpusloom.operators import retrieval as R
 from corpusloom.operators import simjoin as J
 from corpusloom.plans.catalog_relational import _SIM, NORM, QA, TAX, TAX_V, VEC, _labelled, _vectors
 from corpusloom.plans.catalog_rules import REASONS_SQL, reason_codes
-from corpusloom.plans.catalog_text import TAGGED, _tagged
+from corpusloom.plans.catalog_text import TAGGED, _tagged, _training_sql
 from corpusloom.plans.registry import CHAT, RL, TESTS, once, query, table
-from corpusloom.session import shared_dir
+from corpusloom.session import shared_dir, stored
 from corpusloom.sources import readers, writers
 from corpusloom.streaming import sessions
 
@@ -172,9 +172,11 @@ def dual(spark, d):
     return rows.select(F.expr("stack(2, 'raw', raw, 'adapted', adapted) as (kind, v)")).groupBy("kind").agg(F.count("*").alias("n"), F.count_if("v").alias("passed"))
 
 
-@query("evl_11_replay", f"SELECT item_id, 'x' AS once, 'x' AS again FROM {TESTS} WHERE false")
+@query("evl_11_replay", f"SELECT count(*) AS compared, CAST(0 AS BIGINT) AS differing, CAST(sum(length({_training_sql('generated')})) AS BIGINT) AS chars FROM {TESTS}")
 def replay(spark, d):
-    return V.replayed(_tests(spark, d), "item_id", T.training_clean("generated"), T.training_clean("generated"))
+    rows = _tests(spark, d)
+    once_ = stored(rows.select("item_id", T.training_clean("generated").alias("clean")), "replay")
+    return V.replayed(rows, "item_id", T.training_clean("generated"), once_, "clean")
 
 
 @query("evl_12_prompt_parity", f"SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE h = user_text_sha256) AS BIGINT) AS same FROM (SELECT user_text_sha256, sha256(list_filter(coalesce(conversations, []), lambda t: t.\"from\" = 'human')[1].value) AS h FROM {CHAT})")
@@ -253,10 +255,15 @@ def round_trip(spark, d):
     return back.select("record.line_id", F.col("record.payload").isNotNull().alias("there"))
 
 
-@query("src_12_markup_text", "SELECT doc_id, trim(regexp_replace('x ' || doc_id || ' y', '[ ]+', ' ', 'g')) AS text FROM documents")
+@query("src_12_markup_text", "SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM (SELECT doc_id, regexp_replace(text, '[^\\p{L}\\p{N}。，；：？！、.,;:?!()（）\\s-]', '', 'g') AS text FROM documents WHERE text IS NOT NULL AND lang = 'zh') WHERE trim(text) <> ''")
 def markup_text(spark, d):
-    page = F.concat(F.lit("<html><style>b{}</style><b>x</b>&nbsp;"), "doc_id", F.lit("<script>no()</script> <i>y</i></html>"))
-    return table(spark, d, "documents").select("doc_id", readers.html_text(page).alias("text"))
+    """Every Chinese document written as a page with markup to a file each, extracted again."""
+    docs = table(spark, d, "documents").where("text is not null and lang = 'zh'").select("doc_id", F.regexp_replace("text", r"[^\p{L}\p{N}。，；：？！、.,;:?!()（）\s-]", "").alias("text")).where(F.trim("text") != "")
+    page = F.concat(F.lit("<html><style>b{}</style><script>no()</script><p id=d>"), "doc_id", F.lit("</p>&nbsp;<body>"), F.regexp_replace("text", r"[\r\n\u0085\u2028\u2029]", "<br/> "), F.lit("</body></html>"))
+    out = f"{shared_dir(spark)}/pages-{Path(tempfile.mktemp()).name}"
+    docs.select(page.alias("page")).write.text(out)
+    read = spark.read.text(out).select(F.regexp_extract("value", "<p id=d>([0-9]+)</p>", 1).cast("long").alias("doc_id"), F.regexp_extract("value", "(?s)<body>(.*)</body>", 1).alias("body"))
+    return read.select("doc_id", readers.html_text(F.concat(F.lit("<b>"), "body", F.lit("</b>"))).alias("text"))
 
 
 @query("ded_02_accepted")

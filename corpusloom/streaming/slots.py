@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 #: Answers that tell nothing, and answers that put a question off.
 UNKNOWN = ("不知道", "不清楚", "不晓得", "不会看", "没看", "没有看", "没注意", "没有注意", "说不清", "不确定")
 DEFERRED = ("以后再说", "稍后", "待会", "等会", "先不说", "暂时不说")
-# A small vocabulary of slots.
+#: A small vocabulary of slots as an example.
 SLOTS = {"sleep": ("睡", "失眠", "多梦"), "appetite": ("胃口", "食欲", "吃饭"), "stool": ("大便", "便秘", "腹泻"), "urination": ("小便", "排尿"), "sweat": ("出汗", "盗汗"), "cold_heat": ("怕冷", "怕热", "发热"), "duration": ("多久", "天", "周", "月", "年")}
 
 
