@@ -154,8 +154,9 @@ class Cutter:
             tokens = self.size(first, b) + extra
             if self.cut_inside or tokens > capacity:
                 tokens = self.enc.count(self.text[start:stop])
-                if tokens > capacity:
-                    start, tokens = own, self.enc.count(self.text[own:stop])
+                while tokens > capacity and start < own:  # a shorter overlap
+                    start = next((c for c in self.chars[first : a + 1] if c > start), own)
+                    tokens = self.enc.count(self.text[start:stop])
             out.append((start, own, stop, tokens))
         return out
 
