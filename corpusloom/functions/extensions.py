@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusloom.functions.metrics import accuracy_rewards
 from corpusloom.functions.text import follows_format
@@ -54,3 +55,14 @@ def call_handler(handler: Callable, text: str, state: dict | None) -> object:
         return handler(text)
     names = inspect.signature(handler).parameters
     return handler(text, state=state) if "state" in names or not any(p.kind is p.POSITIONAL_OR_KEYWORD for p in list(names.values())[1:2]) else handler(text, state)
+
+
+def handled(rows: DataFrame, handler: Callable, text: str, state: str, out: str = "handled", kind: str = "long") -> DataFrame:
+    """Rows with the answer of an injected handler, which may take the state (a struct column, as a dict) or not."""
+    schema = rows.select(F.lit(None).cast(kind).alias(out)).schema
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            yield df.drop(columns=[state]).assign(**{out: [call_handler(handler, t, s) for t, s in zip(df[text], df[state], strict=True)]})
+
+    return rows.mapInPandas(run, StructType([*(f for f in rows.schema if f.name != state), *schema]))

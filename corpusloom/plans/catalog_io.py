@@ -21,6 +21,7 @@ from corpusloom.plans.catalog_text import RET, _shingles_sql
 from corpusloom.plans.registry import API, QA, RL, TESTS, drop_sql, once, query, quoted, table
 from corpusloom.session import shared_dir, stored
 from corpusloom.sources import readers, writers
+from corpusloom.streaming import slots
 
 
 def _place(spark, name: str) -> str:
@@ -244,3 +245,58 @@ def concept_counts(spark, d):
 @query("evl_05_micro", f"SELECT CAST(count(*) AS BIGINT) AS pairs FROM {TESTS} WHERE length(reference) > 0 AND length(generated) > 0")
 def micro(spark, d):
     return _measured(spark, d).agg(F.count("*").alias("pairs"))
+
+
+# --- sinks and sources by themselves -----------------------------------------------------------
+
+
+def _local(path: str) -> str:
+    return path.removeprefix("file://").removeprefix("file:")
+
+
+@query("snk_01_json", """SELECT '{' || chr(10) || string_agg('  "' || r_name || '": ' || r_regionkey, ',' || chr(10) ORDER BY r_name) || chr(10) || '}' || chr(10) AS text FROM region""")
+def json_file(spark, d):
+    p = _place(spark, "report") + ".json"
+    writers.write_json(_local(p), {r["r_name"]: r["r_regionkey"] for r in table(spark, d, "region").collect()})  # a report
+    return spark.read.text(p, wholetext=True).select(F.col("value").alias("text"))
+
+
+@query("snk_05_csv", "SELECT n_name, n_nationkey FROM nation")
+def csv_file(spark, d):
+    p = _place(spark, "csv")
+    writers.write_csv(_nation(spark, d), p, ["n_name", "n_nationkey"])
+    return spark.read.csv(p, header=True, schema="n_name string, n_nationkey int")
+
+
+@query("snk_06_markdown", f"SELECT '| split | n |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || split || ' | ' || n || ' |', chr(10) ORDER BY split) || chr(10) AS text FROM (SELECT split, count(*) AS n FROM {QA} WHERE split IS NOT NULL GROUP BY 1)")
+def markdown_report(spark, d):
+    counts = once(spark, d, "qa_records", "record_id").where("split is not null").groupBy("split").agg(F.count("*").alias("n")).orderBy("split")
+    return spark.createDataFrame([(writers.markdown_table(counts),)], "text string")
+
+
+@query("snk_07_checkpoints", f"SELECT item_id AS step FROM (SELECT item_id FROM {TESTS} WHERE bleu1 IS NOT NULL ORDER BY bleu1 DESC, item_id DESC LIMIT 2) UNION SELECT min(item_id) FROM {TESTS}")
+def checkpoints(spark, d):
+    h = once(spark, d, "test_results", "item_id").select(F.col("item_id").alias("step"), "bleu1")
+    return L.retained_checkpoints(h, ["bleu1"], 2, current=h.agg(F.min("step")).first()[0])
+
+
+@query("src_10_lazy", NATION)
+def lazy_scan(spark, d):
+    p = _place(spark, "lazy")
+    writers.write_jsonl(_nation(spark, d), f"{p}/in", [F.col("n_nationkey")])
+    stream = readers.lazy_files(spark, f"{p}/in", NATION_SCHEMA)
+    stream.writeStream.format("parquet").option("path", f"{p}/out").option("checkpointLocation", f"{p}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{p}/out")
+
+
+@query("stm_02_slot_machine")
+def slot_machine(spark, d):
+    """Slot filling over every session, message by message."""
+    return slots.replay(once(spark, d, "api_requests", "req_no").select("session_id", F.col("req_no").alias("seq"), "text"))
+
+
+@query("udf_02_handlers", f"SELECT req_no, CAST(length(text) AS BIGINT) AS plain, CAST(length(text) + coalesce(state.turn_count, 0) AS BIGINT) AS stateful FROM {API} WHERE text IS NOT NULL")
+def handlers(spark, d):
+    rows = once(spark, d, "api_requests", "req_no").where("text is not null").select("req_no", "text", F.struct("state.turn_count").alias("s"), F.struct("state.turn_count").alias("t"))
+    plain = X.handled(rows, lambda text: len(text), "text", "s", "plain")
+    return X.handled(plain, lambda text, state: len(text) + int(state["turn_count"] or 0), "text", "t", "stateful").drop("text")

@@ -13,6 +13,7 @@ from corpusloom.functions import text as T
 from corpusloom.functions.jsonx import contract_error_column
 from corpusloom.functions.similarity import normalized
 from corpusloom.operators import evaluation as V
+from corpusloom.operators import index as I
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import simjoin as J
 from corpusloom.plans.catalog_relational import _SIM, NORM, QA, TAX, TAX_V, VEC, _labelled, _vectors
@@ -289,3 +290,14 @@ def curation(spark, d):
     return outcomes(once(spark, d, "qa_records", "record_id")).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+
+
+@query("vec_12_index_recall", f"SELECT CAST(count(*) AS BIGINT) AS queries, true AS enough FROM ({VEC}) WHERE id % 50 = 0")
+def index_recall(spark, d):
+    """Every vector indexed; the 10 nearest of every 50th against the whole product: a recall of 0.9 or more."""
+    vectors = _vectors(spark, d)
+    asked = vectors.where("id % 50 = 0")
+    found = stored(I.search(I.build_index(vectors), asked, 10), "index-found")
+    truth = J.cosine_nearest(asked, vectors, 10, same=True)
+    share = I.recall(found, truth)
+    return found.select("a").distinct().agg(F.count("*").alias("queries")).withColumn("enough", F.lit(share >= 0.9))

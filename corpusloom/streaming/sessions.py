@@ -93,11 +93,18 @@ def replay(messages: DataFrame, key: bytes) -> DataFrame:
     return ordered.mapInPandas(fold, OUT)
 
 
-def stream(messages: DataFrame, key: bytes) -> DataFrame:
-    """The same over a stream (session_id, seq, text, new_session), with the state kept by Spark."""
+def stream(messages: DataFrame, key: bytes, idle_hours: int | None = None) -> DataFrame:
+    """The same over a stream (session_id, seq, text, new_session), with the state kept by Spark.
+
+    ``idle_hours`` drops the state of sessions that are idle for so long, under a continuous trigger; a run
+    that ends with the input (availableNow) would wait for the timeouts.
+    """
     state_schema = "state string"
 
     def update(ids: tuple, batches: Iterator[pd.DataFrame], kept) -> Iterator[pd.DataFrame]:
+        if kept.hasTimedOut:
+            kept.remove()
+            return
         sid = ids[0]
         state = json.loads(kept.get[0]) if kept.exists else new_state(sid)
         rows = pd.concat(list(batches)).sort_values("seq", kind="stable")  # one micro-batch of one session
@@ -106,9 +113,11 @@ def stream(messages: DataFrame, key: bytes) -> DataFrame:
             state, status = step(state, text, bool(fresh))
             out.append((sid, seq, status, state["turn_count"], list(state["facts"]), sign(key, state)))
         kept.update((json.dumps(state, ensure_ascii=False),))
+        if idle_hours:
+            kept.setTimeoutDuration(idle_hours * 3_600_000)
         yield pd.DataFrame(out, columns=["session_id", "seq", "status", "turn_count", "facts", "signature"])
 
-    return messages.groupBy("session_id").applyInPandasWithState(update, OUT, state_schema, "append", "NoTimeout")
+    return messages.groupBy("session_id").applyInPandasWithState(update, OUT, state_schema, "append", "ProcessingTimeTimeout" if idle_hours else "NoTimeout")
 
 
 def session_windows(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:

@@ -6,8 +6,12 @@ clauses can fill several pending slots; a clause binds only if exactly one slot
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame
 
 #: Answers that tell nothing, and answers that put a question off.
 UNKNOWN = ("不知道", "不清楚", "不晓得", "不会看", "没看", "没有看", "没注意", "没有注意", "说不清", "不确定")
@@ -75,3 +79,33 @@ def summarized(state: dict) -> dict:
 def snapshot(state: dict) -> dict:
     """What a summary may show: filled slots, unknown and deferred ones."""
     return {"facts": {k: v for k, v in state["facts"].items() if v}, "unknown": sorted(state["unknown"]), "deferred": sorted(state["deferred"]), "turn_count": state["turn_count"]}
+
+
+def turn(state: dict, text: str, slots: Mapping[str, Sequence[str]] = SLOTS, at_once: int = 2) -> dict:
+    """One message: counted, bound to what was asked, then the next open fields are asked, or the summary is made."""
+    state = bind(begin(state, text), text, slots)
+    fields = [f for f in slots if f not in state["pending"] and should_ask(state, f)][:at_once]
+    return ask(state, fields) if fields or state["pending"] else summarized(state)
+
+
+def replay(messages: DataFrame, slots: Mapping[str, Sequence[str]] = SLOTS) -> DataFrame:
+    """session_id, seq, filled, unknown, deferred, pending, complete, snapshot after every message (session_id, seq, text).
+
+    Sorted partitions are folded as a stream with one state in memory, the history of which is not kept.
+    """
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state: dict | None = None
+        names = ["session_id", "seq", "filled", "unknown", "deferred", "pending", "complete", "snapshot"]
+        for df in batches:
+            out = []
+            for sid, seq, text in zip(df["session_id"], df["seq"], df["text"], strict=True):
+                if state is None or state["session_id"] != sid:
+                    state = new_state(sid, slots)
+                state = turn(state, text or "", slots) | {"history": []}
+                shown = snapshot(state)
+                out.append((sid, seq, len(shown["facts"]), len(state["unknown"]), len(state["deferred"]), len(state["pending"]), state["complete"], json.dumps(shown, ensure_ascii=False, sort_keys=True)))
+            yield pd.DataFrame(out, columns=names)
+
+    ordered = messages.where("session_id is not null").select("session_id", "seq", "text").repartition("session_id").sortWithinPartitions("session_id", "seq")
+    return ordered.mapInPandas(fold, "session_id string, seq long, filled int, unknown int, deferred int, pending int, complete boolean, snapshot string")

@@ -1,6 +1,7 @@
 import json
 from itertools import combinations
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -287,3 +288,50 @@ def test_overlap_counts_over_whole_texts(spark):
     schema = "id long, query_norm string, pair_norm string"
     got = dedup.overlap_counts(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), 0.95, 0.9, 3).collect()
     assert [r.asDict() for r in got] == [want] and want["near_query"] and want["near_pair"] > want["near_query"] - want["any_match"]
+
+
+def test_vector_index_on_clusters_and_without_rows(spark):
+    from corpusloom.operators import index, simjoin
+
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(40, 16))
+    vectors = centers[rng.integers(0, 40, 1500)] + 0.15 * rng.normal(size=(1500, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(5000, None)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    made = index.build_index(df)
+    assert made.rows.count() == 1500 and made.probes < len(made.centroids) / 2
+    asked = df.where("id % 10 = 0")
+    assert index.recall(index.search(made, asked, 5), simjoin.cosine_nearest(asked, df, 5, same=True)) >= 0.9
+    every = index.search(made, asked, 5, len(made.centroids))
+    assert index.recall(every, simjoin.cosine_nearest(asked, df, 5, same=True)) == 1.0
+    empty = index.build_index(df.where("vec is null"))
+    assert index.search(empty, asked, 5).count() == 0
+
+
+def test_slot_machine_equals_the_fold(spark):
+    from corpusloom.streaming import slots
+
+    said = [("a", 1, "头晕"), ("a", 2, "睡得不好，胃口不清楚"), ("a", 3, "稍后"), ("a", 4, None), ("b", 2, "三天"), ("b", 1, ""), (None, 1, "x")]
+    got = {(r["session_id"], r["seq"]): r for r in slots.replay(spark.createDataFrame(said, "session_id string, seq long, text string")).collect()}
+    assert set(got) == {(s, n) for s, n, _ in said if s}
+    for sid in "ab":
+        state = slots.new_state(sid)
+        for _, seq, text in sorted(x for x in said if x[0] == sid):
+            state = slots.turn(state, text or "")
+            r = got[(sid, seq)]
+            assert (r["filled"], r["unknown"], r["deferred"], r["pending"]) == (sum(map(bool, state["facts"].values())), len(state["unknown"]), len(state["deferred"]), len(state["pending"]))
+
+
+def test_slices_and_thresholds_by_rank(spark):
+    from corpusloom.operators import selection
+    from corpusloom.sources import readers
+
+    df = spark.range(0, 997).select("id", (F.col("id") % 3).alias("kind"))
+    for percent in (0, 0.05, 1, 37.5, 100):
+        got = [r["id"] for r in readers.slice_percent(df, [F.desc("id")], percent).collect()]
+        assert sorted(got, reverse=True) == list(range(996, 996 - int(997 * percent / 100), -1))
+        part = selection.exact_validation(df, "id", percent)
+        assert part.where("part = 'validation'").count() == -(-997 * percent // 100)
+    split = selection.stratified_split(df.unionByName(spark.createDataFrame([(2000, None), (2001, None), (2002, 9)], "id long, kind long")), "kind", "id")
+    counts = {(r["kind"], r["part"]): r["n"] for r in split.groupBy("kind", "part").agg(F.count("*").alias("n")).collect()}
+    assert counts == {(0, "heldout"): 67, (0, "train"): 266, (1, "heldout"): 66, (1, "train"): 266, (2, "heldout"): 66, (2, "train"): 266, (None, "heldout"): 1, (None, "train"): 1, (9, "train"): 1}
