@@ -29,7 +29,7 @@ def _maps(lower: bool) -> tuple[str, str]:
         if unicodedata.combining(c):
             continue
         to = forms.plain(c) if lower else unicodedata.normalize("NFC", forms.skeleton(c))
-        if lower and not to:
+        if lower and not to and unicodedata.category(c) != "Cf":  # invisible characters go before accents are composed
             continue
         if len(to) == 1 and to != c:
             changed.append((c, to))
@@ -74,7 +74,7 @@ def p1_report() -> str:
     return f"""
 WITH r AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT 'qa_records' AS tbl, record_id AS id, split, source, {plain_sql('query')} AS plain FROM qa_records
 UNION ALL SELECT 'chat_samples', sample_id, split, source, {human} FROM chat_samples) WHERE split IN ('train', 'development', 'heldout') AND plain <> ''),
-t AS MATERIALIZED (SELECT tbl, split <> 'train' AS ev, plain, row_number() OVER (ORDER BY tbl, split <> 'train', plain) AS id FROM r GROUP BY ALL),
+t AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY tbl, ev, plain) AS id FROM (SELECT DISTINCT tbl, split <> 'train' AS ev, plain FROM r)),
 g AS MATERIALIZED (SELECT DISTINCT tbl, id, ev, substring(plain, i, 3) AS gram FROM (SELECT *, unnest(range(1, CAST(length(plain) AS BIGINT) - 1)) AS i FROM t WHERE length(plain) >= 3)),
 n AS (SELECT id, count(*) AS n FROM g GROUP BY 1),
 c AS (SELECT a.id AS a, b.id AS b, count(*) AS s FROM g a JOIN g b ON a.tbl = b.tbl AND a.gram = b.gram AND a.ev AND NOT b.ev GROUP BY 1, 2),
