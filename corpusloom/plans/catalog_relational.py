@@ -168,7 +168,7 @@ def dimension(spark, d):
 
 @query("join_13_upper_triangle", f"SELECT count(*) AS pairs, round(max(score), 9) AS best FROM {RL_EDGES} WHERE score >= 0.5")
 def upper_triangle(spark, d):
-    return J.jaccard_join(_norm_rl(spark, d), None, 0.5, 3).agg(F.count("*").alias("pairs"), F.round(F.max("score"), 9).alias("best"))
+    return J.pair_summary(_norm_rl(spark, d), 0.5, 3).select("pairs", F.round("best", 9).alias("best"))
 
 
 # --- aggregates --------------------------------------------------------------------------------
