@@ -204,7 +204,7 @@ def gate(spark, d):
 
 @query("agg_06_overall_best", f"SELECT a, b, round(score, 9) AS score FROM (SELECT a, b, round(score, 12) AS score FROM {RL_EDGES}) WHERE score >= 0.6 ORDER BY score DESC, a, b LIMIT 1")
 def overall_best(spark, d):
-    e = J.jaccard_join(_norm_rl(spark, d), None, 0.6, 3).withColumn("score", F.round("score", 12))
+    e = J.first_pairs(_norm_rl(spark, d), 0.6, 3).withColumn("score", F.round("score", 12))
     return J.overall_best(e).withColumn("score", F.round("score", 9))
 
 
