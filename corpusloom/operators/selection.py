@@ -126,8 +126,11 @@ def greedy_quota(candidates: DataFrame, conflicts: DataFrame, quotas: list[tuple
     settings.  Each step takes the first ``target`` candidates of its category that conflict with
     nothing selected before them.  A candidate passed over is used up ("conflict"), one behind the
     last selected stays for later steps; in the end it is "unused".  A step is keep-first over the
-    conflict graph of what is left, so it is parallel and exact; a quota that is not met raises.
+    conflict graph of the first candidates that are left, and of four times as many more that conflict with
+    nothing kept until the target is reached, so it is exact and its rounds end with the target; a quota that
+    is not met raises.
     """
+    conflicts = stored(conflicts.select("a", "b"), "quota-conflicts")
     both = conflicts.select("a", "b").unionByName(conflicts.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     state = stored(candidates.select("id", "category", F.lit(None).cast("string").alias("split"), F.col("rejected").alias("decision")), "quota")
     for split, category, target in quotas:
@@ -135,9 +138,7 @@ def greedy_quota(candidates: DataFrame, conflicts: DataFrame, quotas: list[tuple
         chosen = state.where("decision = 'selected'").select(F.col("id").alias("b"))
         blocked = both.join(chosen, "b", "left_semi").select(F.col("a").alias("id")).distinct()
         free = stored(left.join(blocked, "id", "left_anti").select("id"), "quota-free")
-        inner = both.join(free.select(F.col("id").alias("a")), "a", "left_semi").join(free.select(F.col("id").alias("b")), "b", "left_semi").where("a < b")
-        kept = independent_first(free, inner).where("kept").select("id")
-        taken = stored(kept.orderBy("id").limit(target), "quota-taken")
+        taken = _first_independent(free, both, target)
         n, last = taken.agg(F.count("*"), F.max("id")).first()
         if n < target:
             raise ValueError(f"quota of {split}/{category} is {target}, {n} candidates are left")
@@ -147,6 +148,40 @@ def greedy_quota(candidates: DataFrame, conflicts: DataFrame, quotas: list[tuple
     return state.select("id", "split", "category", F.coalesce("decision", F.lit("unused")).alias("decision"))
 
 
+#: Candidates of a window that is decided on the driver; larger windows are decided in rounds.
+WINDOW = 1024
+
+
+def _kept_of(window: DataFrame, inner: DataFrame, size: int) -> DataFrame:
+    """Ids of keep-first over the conflicts a < b of a window of at most ``size`` ids."""
+    if size > WINDOW:
+        return independent_first(window, inner).where("kept").select("id")
+    earlier: dict = {}
+    for a, b in inner.select("a", "b").distinct().collect():  # WINDOW * WINDOW / 2 rows at most
+        earlier.setdefault(b, set()).add(a)
+    kept: set = set()
+    for (i,) in sorted(window.collect()):
+        if kept.isdisjoint(earlier.get(i, ())):
+            kept.add(i)
+    return window.sparkSession.createDataFrame([(i,) for i in kept], window.schema)
+
+
+def _first_independent(nodes: DataFrame, both: DataFrame, target: int) -> DataFrame:
+    """The first ``target`` ids of keep-first over the conflicts (a, b, in both directions) of the nodes, in windows that grow fourfold."""
+    kept, size = None, max(64, 4 * target)
+    while True:
+        window = stored(nodes.orderBy("id").limit(size), "quota-window")
+        inner = both.join(window.select(F.col("id").alias("a")), "a", "left_semi").join(window.select(F.col("id").alias("b")), "b", "left_semi").where("a < b")
+        new = stored(_kept_of(window, inner, size), "quota-kept")
+        kept = new if kept is None else kept.union(new)
+        n, last = window.agg(F.count("*"), F.max("id")).first()
+        if n < size or kept.count() >= target:
+            return stored(kept.orderBy("id").limit(target), "quota-taken")
+        met = both.join(new.select(F.col("id").alias("b")), "b", "left_semi").select(F.col("a").alias("id")).distinct()
+        nodes = stored(nodes.where(F.col("id") > last).join(met, "id", "left_anti"), "quota-rest")
+        size *= 4
+
+
 def accounting(source: DataFrame, accepted: DataFrame, rejected: DataFrame, key: str) -> DataFrame:
     """One row: source rows, and those that are missing, repeated or foreign among accepted and rejected."""
     used = accepted.select(key).unionAll(rejected.select(key)).groupBy(key).agg(F.count("*").alias("n"))
