@@ -101,23 +101,48 @@ def split_overlaps(rows: DataFrame, split: str, key: str) -> DataFrame:
     return both.groupBy(F.col(f"a.{split}").alias("left_split"), F.col(f"b.{split}").alias("right_split")).agg(F.count("*").alias("shared"))
 
 
-def _first_near(rows: DataFrame, references: DataFrame, key: str, threshold: float, n: int) -> DataFrame:
+def _keyed(rows: DataFrame) -> DataFrame:
+    """id and 128-bit hashes of query_norm and pair_norm (null for null), every key once: equality without the texts."""
+    both = [F.when(F.col(k).isNotNull(), F.struct(F.xxhash64(k).alias("h"), F.xxhash64(F.lit(5), k).alias("g"))).alias(k) for k in ("query_norm", "pair_norm")]
+    return rows.select("id", *both).distinct()
+
+
+def _texts(rows: DataFrame, key: str) -> DataFrame:
+    return rows.where(f"{key} <> ''").select("id", F.col(key).alias("text"))
+
+
+def _near_ids(rows: DataFrame, references: DataFrame, key: str, threshold: float, n: int) -> DataFrame:
     """(a, b): rows and references (id, key) with a Jaccard of n-grams >= threshold; equal references count as their first."""
-    from corpusloom.operators.simjoin import jaccard_join
+    from corpusloom.operators.simjoin import text_pairs
 
-    firsts = references.where(f"{key} <> ''").groupBy(key).agg(F.min("id").alias("id"))
-    return jaccard_join(rows.where(f"{key} <> ''").select("id", F.col(key).alias("text")), firsts.select("id", F.col(key).alias("text")), threshold, n).select("a", "b")
+    left = _texts(rows, key)
+    pairs = text_pairs(left, _texts(references, key), threshold, n).select("x", F.col("y").alias("b"))
+    hashed = left.select("id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(5), "text").alias("g")).distinct()
+    first = hashed.groupBy("h", "g").agg(F.min("id").alias("x"))
+    return pairs.join(hashed.join(first, ["h", "g"]).select("x", F.col("id").alias("a")), "x").select("a", "b")
 
 
 def leaked(rows: DataFrame, references: DataFrame, query_threshold: float, pair_threshold: float, n: int) -> DataFrame:
-    """Ids of the rows (id, query_norm, pair_norm) that any reference equals or is near to, by query or by pair; a null is like nothing."""
-    out = rows.join(references.select("query_norm").distinct(), "query_norm", "left_semi").select("id")
-    out = out.union(rows.join(references.select("pair_norm").distinct(), "pair_norm", "left_semi").select("id"))
+    """Ids of the rows (id, query_norm, pair_norm) that any reference equals or is near to, by query or by pair; a null is like nothing.
+
+    Both may hold a key several times; they are read several times, and texts are shuffled for candidates only.
+    """
+    left, right = stored(_keyed(rows), "leak-rows"), stored(_keyed(references), "leak-references")
+    out = left.join(right.select("query_norm").distinct(), "query_norm", "left_semi").select("id")
+    out = out.union(left.join(right.select("pair_norm").distinct(), "pair_norm", "left_semi").select("id"))
     for key, threshold in (("query_norm", query_threshold), ("pair_norm", pair_threshold)):
-        out = out.union(_first_near(rows, references, key, threshold, n).select("a"))
+        out = out.union(_near_ids(rows, references, key, threshold, n).select("a"))
     return out.distinct()
 
 
+def _first_near(rows: DataFrame, references: DataFrame, key: str, threshold: float, n: int) -> DataFrame:
+    """(a, b): rows and references (id, key) with a Jaccard of n-grams >= threshold; equal references count as their first."""
+    from corpusloom.operators.simjoin import jaccard_join
+
+    firsts = references.where(f"{key} <> ''").groupBy(key).agg(F.min("id").alias("id"))
+    return jaccard_join(rows.where(f"{key} <> ''").select("id", F.col(key).alias("text")), firsts.select("id", F.col(key).alias("text")), threshold, n).select("a", "b")
+
+
 def overlap_counts(left: DataFrame, right: DataFrame, query_threshold: float, pair_threshold: float, n: int) -> DataFrame:
     """One row of counts of left rows (id, query_norm, pair_norm) that meet the right.
 
