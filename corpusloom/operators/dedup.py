@@ -135,27 +135,21 @@ def leaked(rows: DataFrame, references: DataFrame, query_threshold: float, pair_
     return out.distinct()
 
 
-def _first_near(rows: DataFrame, references: DataFrame, key: str, threshold: float, n: int) -> DataFrame:
-    """(a, b): rows and references (id, key) with a Jaccard of n-grams >= threshold; equal references count as their first."""
-    from corpusloom.operators.simjoin import jaccard_join
-
-    firsts = references.where(f"{key} <> ''").groupBy(key).agg(F.min("id").alias("id"))
-    return jaccard_join(rows.where(f"{key} <> ''").select("id", F.col(key).alias("text")), firsts.select("id", F.col(key).alias("text")), threshold, n).select("a", "b")
-
-
 def overlap_counts(left: DataFrame, right: DataFrame, query_threshold: float, pair_threshold: float, n: int) -> DataFrame:
     """One row of counts of left rows (id, query_norm, pair_norm) that meet the right.
 
     exact_query, exact_pair (without the former): over all right rows.  near_query, near_pair: of the
     first right row that is near by either; any_match: rows with one.  Empty texts are near to nothing.
+    Both may hold a key several times; they are read several times, and texts are shuffled for candidates only.
     """
-    q = _first_near(left, right, "query_norm", query_threshold, n).select("a", "b", F.lit(True).alias("q"), F.lit(False).alias("p"))
-    p = _first_near(left, right, "pair_norm", pair_threshold, n).select("a", "b", F.lit(False).alias("q"), F.lit(True).alias("p"))
+    q = _near_ids(left, right, "query_norm", query_threshold, n).select("a", "b", F.lit(True).alias("q"), F.lit(False).alias("p"))
+    p = _near_ids(left, right, "pair_norm", pair_threshold, n).select("a", "b", F.lit(False).alias("q"), F.lit(True).alias("p"))
     met = q.unionByName(p).groupBy("a", "b").agg(F.bool_or("q").alias("q"), F.bool_or("p").alias("p"))
     first = met.groupBy("a").agg(F.min_by(F.struct("q", "p"), "b").alias("m"))
     near = first.agg(F.count_if("m.q").alias("near_query"), F.count_if("m.p").alias("near_pair"), F.count("*").alias("any_match"))
-    by_query = left.join(right.select("query_norm").distinct(), "query_norm", "left_semi")
-    by_pair = left.join(right.select("pair_norm").distinct(), "pair_norm", "left_semi").join(by_query.select("id"), "id", "left_anti")
+    mine, theirs = stored(_keyed(left), "overlap-left"), stored(_keyed(right), "overlap-right")
+    by_query = mine.join(theirs.select("query_norm").distinct(), "query_norm", "left_semi")
+    by_pair = mine.join(theirs.select("pair_norm").distinct(), "pair_norm", "left_semi").join(by_query.select("id"), "id", "left_anti")
     return by_query.agg(F.count("*").alias("exact_query")).crossJoin(by_pair.agg(F.count("*").alias("exact_pair"))).crossJoin(near)
 
 

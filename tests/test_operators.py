@@ -392,6 +392,8 @@ def test_texts_without_a_like_one_are_not_shuffled(spark):
     a, b = df.where("id < 200"), df.where("id >= 200")
     got, size = shuffled(spark, lambda: dedup.leaked(a, b, 0.9, 0.9, 5).collect())
     assert got == [] and size < 4_000_000
+    got, size = shuffled(spark, lambda: dedup.overlap_counts(a, b, 0.95, 0.9, 3).first())
+    assert tuple(got) == (0, 0, 0, 0, 0) and size < 4_000_000
 
 
 def test_vector_index_on_clusters_and_without_rows(spark):
