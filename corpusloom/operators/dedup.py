@@ -122,6 +122,26 @@ def _near_ids(rows: DataFrame, references: DataFrame, key: str, threshold: float
     return pairs.join(hashed.join(first, ["h", "g"]).select("x", F.col("id").alias("a")), "x").select("a", "b")
 
 
+def exact_then_near(rows: DataFrame, query_threshold: float, pair_threshold: float, n: int) -> DataFrame:
+    """(id, kept, by) of greedy keep-first by near queries or pairs, over the rows (id, query_norm, pair_norm) that ``exact_dedup`` keeps.
+
+    A query stands in the dedup under its first id or not at all, a pair under one id at most, so near texts are
+    sought over all rows and renamed; only hashes are shuffled for the exact part.  Rows may hold a key several
+    times; they are read several times.
+    """
+    from corpusloom.operators.simjoin import text_pairs
+
+    keys = stored(_keyed(rows), "near-keys")
+    kept = stored(exact_dedup(keys, "query_norm", "pair_norm", "id"), "near-kept")
+    named = keys.groupBy("pair_norm").agg(F.min("id").alias("rep")).join(kept, "pair_norm").select("rep", "id")
+    edges = []
+    for key, threshold, names in (("query_norm", query_threshold, kept.select(F.col("id").alias("rep"), "id")), ("pair_norm", pair_threshold, named)):
+        pairs = text_pairs(_texts(rows, key), None, threshold, n).select("x", "y")
+        both = pairs.join(names.toDF("x", "a"), "x").join(names.toDF("y", "b"), "y")
+        edges.append(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    return independent_first(kept.select("id"), edges[0].union(edges[1]).distinct())
+
+
 def leaked(rows: DataFrame, references: DataFrame, query_threshold: float, pair_threshold: float, n: int) -> DataFrame:
     """Ids of the rows (id, query_norm, pair_norm) that any reference equals or is near to, by query or by pair; a null is like nothing.
 

@@ -14,7 +14,6 @@ from corpusloom.operators import simjoin as J
 from corpusloom.plans.catalog_rules import REASONS_SQL, reason_codes
 from corpusloom.plans.catalog_text import CORPUS, RET, _shingles_sql
 from corpusloom.plans.registry import API, CHAT, QA, RL, TESTS, drop_sql, nfkc_sql, once, query, quoted, table
-from corpusloom.session import stored
 
 
 def _qa(spark, d):
@@ -505,11 +504,8 @@ def exact(spark, d):
 @query("ded_02_near")
 def near(spark, d):
     """Exact duplicates go first (by query, then by pair), so near edges are between different texts only."""
-    n = D.exact_dedup(_normed(spark, d).where("query_norm is not null"), "query_norm", "pair_norm", "record_id").select("record_id", "query_norm", "pair_norm")
-    n = stored(n, "ded-02")
-    q = J.jaccard_join(n.select(F.col("record_id").alias("id"), F.col("query_norm").alias("text")), None, 0.95, 3)
-    p = J.jaccard_join(n.select(F.col("record_id").alias("id"), F.col("pair_norm").alias("text")), None, 0.90, 3)
-    return D.near_dedup(n.select("record_id"), q.select("a", "b").union(p.select("a", "b")).distinct(), "record_id")
+    near = D.exact_then_near(_redelivered(spark, d).where("query_norm is not null"), 0.95, 0.90, 3)
+    return near.withColumnRenamed("id", "record_id")
 
 
 DG = f"(SELECT record_id AS id, split, {_shingles_sql('query_norm', 5, 'whole')} AS g FROM {N} WHERE query_norm <> '')"
