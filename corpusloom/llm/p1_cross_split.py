@@ -10,7 +10,7 @@ runs of three of each text: with n distinct runs, ordered by their counts over a
 n - ceil(0.6 n) + 1.  Two texts of a likeness of 0.6 then hold a common run among these positions of
 both, so they stand in one interval of common prefixes of three characters or more.  Inside an
 interval a pair is dropped only if it cannot reach the likeness: by its numbers of runs, by the
-places of the common run in both orders, or by the parities of the runs in 128 classes (two texts
+places of the common run in both orders, or by the parities of the runs in 192 classes (two texts
 differ in no more classes than they have runs of their own).  What is left is compared exactly.
 Stock phrases stand last in every text's order, so they take part only in texts that hardly hold
 anything else.  An interval of more than CELL suffixes is cut into a grid of cells of that size on
@@ -48,6 +48,11 @@ CONTAINED = 0.8
 BUCKETS = 1 << 20
 #: Suffixes of an interval that one task compares with one another, on each side.
 CELL = 100_000
+#: Parities of the runs of a text, 64 classes in each.
+MARKS = ("m1", "m2", "m3")
+CLASSES = 64 * len(MARKS)
+#: Pairs of an interval from which on it is compared in rectangles of so many training and evaluation texts (1 MB).
+DENSE, WIDE, HIGH = 4096, 4096, 32
 #: Splitters and large intervals are taken from the suffixes of every so manieth text; they decide on balance only.
 EVERY = 64
 #: Suffixes of a part and of a task, about, and parts and tasks at most.
@@ -142,12 +147,12 @@ def rare_suffixes(counts, splitters: np.ndarray, grid: tuple[np.ndarray, np.ndar
             row, run = row[new], run[new]
             n = np.bincount(row, minlength=len(plain))
             place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
-            odd = np.bincount(row * 128 + (mix(run) >> np.uint64(57)).astype(np.int64), minlength=len(plain) * 128).reshape(len(plain), 2, 64) & 1
+            odd = np.bincount(row * CLASSES + (mix(run) >> np.uint64(40)).astype(np.int64) % CLASSES, minlength=len(plain) * CLASSES).reshape(len(plain), len(MARKS), 64) & 1
             marks = (odd.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(2, dtype=np.uint64).view(np.int64)
             kept = place < (n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1)[row]
             row, k1, place = row[kept], run[kept].view(np.int64), place[kept]
             rep, kind = df["rep"].to_numpy(np.int64), df["kind"].to_numpy(np.int64)
-            out = {"part": np.searchsorted(splitters, k1, "right"), "cell": np.zeros(len(row), np.int64), "k1": k1, "kind": kind[row], "rep": rep[row], "m1": marks[row, 0], "m2": marks[row, 1], "runs": n[row] << 32 | place}
+            out = {"part": np.searchsorted(splitters, k1, "right"), "cell": np.zeros(len(row), np.int64), "k1": k1, "kind": kind[row], "rep": rep[row], **{m: marks[row, k] for k, m in enumerate(MARKS)}, "runs": n[row] << 32 | place}
             yield pd.DataFrame(in_cells(out, grid)).astype({"part": np.int32, "cell": np.int32})
 
     return make
@@ -171,7 +176,7 @@ def in_cells(out: dict[str, np.ndarray], grid: tuple[np.ndarray, np.ndarray]) ->
     return {k: np.concatenate([v[~large], more[k]]) for k, v in out.items()}
 
 
-RARE = "part int, cell int, k1 long, kind long, rep long, m1 long, m2 long, runs long"
+RARE = "part int, cell int, k1 long, kind long, rep long, " + ", ".join(f"{m} long" for m in MARKS) + ", runs long"
 
 
 def large_intervals(suffixes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -207,39 +212,83 @@ def intervals(batches: Iterator[pd.DataFrame], *keys: str) -> Iterator[tuple[pd.
 
 
 def shared_spans(threshold: float, chunk: int = 1 << 20):
-    """Scan of the sorted sparse suffixes: rep_eval, rep_train of both sides of an interval that can reach the likeness."""
+    """Scan of the sorted sparse suffixes: rep_eval, rep_train of both sides of an interval that can reach the likeness.
+
+    Sides are sorted by numbers of runs.  Intervals of up to DENSE pairs are compared many at a time, pair by pair;
+    larger ones in rectangles, of which only the training texts of fitting numbers of runs are touched, by two thirds
+    of the classes first.
+    """
+    share = (1 - threshold) / (1 + threshold)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        work = np.empty(WIDE * HIGH, np.uint64), *(np.empty(WIDE * HIGH, np.uint8) for _ in range(2))
         for df, number in intervals(batches, "part", "k1", "cell", "kind"):
-            kind = df["kind"].to_numpy(np.int64)
-            is_eval = (kind & 1) == 1
-            ev, tr = np.flatnonzero(is_eval), np.flatnonzero(~is_eval)
-            low, high = np.searchsorted(number[tr], number[ev], "left"), np.searchsorted(number[tr], number[ev], "right")
-            ev, low, width = ev[high > low], low[high > low], (high - low)[high > low]
-            if not len(ev):
-                continue
-            rep = df["rep"].to_numpy(np.int64)
-            m1, m2 = df["m1"].to_numpy(np.int64).view(np.uint64), df["m2"].to_numpy(np.int64).view(np.uint64)
-            runs = df["runs"].to_numpy(np.int64)
+            kind, runs = df["kind"].to_numpy(np.int64), df["runs"].to_numpy(np.int64)
+            order = np.lexsort((runs >> 32, kind & 1, number))
+            number, kind, runs, rep = number[order], kind[order], runs[order], df["rep"].to_numpy(np.int64)[order]
+            marks = [df[m].to_numpy(np.int64)[order].view(np.uint64) for m in MARKS]
             n, left = (runs >> 32).astype(np.int32), ((runs >> 32) - (runs & 0xFFFFFFFF)).astype(np.int32)
-            done, ends = 0, np.cumsum(width)
-            while done < len(ev):
-                upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + chunk, "right")))
-                a = np.repeat(np.arange(done, upto), width[done:upto])
-                b = tr[low[a] + np.arange(len(a)) - (ends[a] - width[a] - (ends[done - 1] if done else 0))]
-                a = ev[a]
+
+            def open_ones(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 both = n[a] + n[b]
                 # s common runs of both = x + y - s at most: likeness <=> s * (1 + t) >= t * (x + y); at most ``left`` common ones from here on
                 ok = np.flatnonzero(np.minimum(left[a], left[b]) * (1 + threshold) >= both * threshold - 1e-6)
                 a, b, both = a[ok], b[ok], both[ok]
-                apart = np.bitwise_count(m1[a] ^ m1[b]).astype(np.int32) + np.bitwise_count(m2[a] ^ m2[b])
-                ok = apart * (1 + threshold) <= both * (1 - threshold) + 1e-6
-                yield pd.DataFrame({"rep_eval": rep[a[ok]], "rep_train": rep[b[ok]], "kind": kind[a[ok]]}).drop_duplicates()
+                apart = np.zeros(len(a), np.int32)
+                for m in marks:
+                    apart += np.bitwise_count(m[a] ^ m[b])
+                ok = apart <= both * share + 1e-6
+                return a[ok], b[ok]
+
+            def frame(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+                return pd.DataFrame({"rep_eval": rep[a], "rep_train": rep[b], "kind": kind[a]}).drop_duplicates()
+
+            is_eval = (kind & 1) == 1
+            ev, tr = np.flatnonzero(is_eval), np.flatnonzero(~is_eval)
+            low, high = np.searchsorted(number[tr], number[ev], "left"), np.searchsorted(number[tr], number[ev], "right")
+            many = np.bincount(number[ev], minlength=number[-1] + 1)[number[ev]] * (high - low)
+            small = (many > 0) & (many <= DENSE)
+            some, first, width = ev[small], low[small], (high - low)[small]
+            done, ends = 0, np.cumsum(width)
+            while done < len(some):
+                before = ends[done - 1] if done else 0
+                upto = max(done + 1, int(np.searchsorted(ends, before + chunk, "right")))
+                i = np.repeat(np.arange(done, upto), width[done:upto])
+                j = tr[first[i] + np.arange(len(i)) - (ends[i] - width[i] - before)]
+                yield frame(*open_ones(some[i], j))
                 done = upto
+            large = np.flatnonzero(many > DENSE)
+            heads = large[np.flatnonzero(np.diff(number[ev[large]], prepend=-1))]
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for at, to in zip(heads, np.searchsorted(number[ev], number[ev[heads]], "right"), strict=True):
+                mine, theirs = ev[at:to], tr[low[at] : high[at]]
+                for x in range(0, len(mine), HIGH):
+                    a = mine[x : x + HIGH]
+                    fit = np.searchsorted(n[theirs], [np.ceil(n[a[0]] * threshold - 1e-6), np.floor(n[a[-1]] / threshold + 1e-6) + 1])
+                    for y in range(fit[0], fit[1], WIDE):
+                        b = theirs[y : min(y + WIDE, fit[1])]
+                        found.append(open_ones(*near_ones([m[a] for m in marks[:2]], [m[b] for m in marks[:2]], a, b, (int(n[a[-1]]) + int(n[b[-1]])) * share + 1e-6, work)))
+                if sum(len(a) for a, _ in found) > chunk:
+                    yield frame(*(np.concatenate(v) for v in zip(*found, strict=True)))
+                    found = []
+            if found:
+                yield frame(*(np.concatenate(v) for v in zip(*found, strict=True)))
 
     return scan
 
 
+def near_ones(mine: list[np.ndarray], theirs: list[np.ndarray], a: np.ndarray, b: np.ndarray, most: float, work: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Members of a and b whose parities differ in at most ``most`` classes."""
+    both, one, apart = (w[: len(a) * len(b)].reshape(len(a), len(b)) for w in work)
+    for k, (x, y) in enumerate(zip(mine, theirs, strict=True)):
+        np.bitwise_xor(x[:, None], y[None, :], out=both)
+        np.bitwise_count(both, out=one if k else apart)
+        if k:
+            np.add(apart, one, out=apart)
+    at = np.flatnonzero(apart.ravel() <= np.uint8(min(most, 255)))
+    return a[at // len(b)], b[at % len(b)]
+
+
 def cross_split_pairs(texts: DataFrame, threshold: float = LIKENESS) -> DataFrame:
     """tbl, rep_eval, rep_train, likeness of every pair of distinct texts (tbl, kind, rep, plain) of both sides that reaches the likeness."""
     counts = run_counts(texts)
