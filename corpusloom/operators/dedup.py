@@ -58,17 +58,21 @@ def near_dedup_texts(rows: DataFrame, threshold: float, n: int = 3) -> DataFrame
 
     Equal texts are one node: their first id stands for them, and its fate decides theirs (the first
     is the earliest kept match of its copies, or their earliest kept match is its own).  A group of
-    copies of any size gives no edge.  Null texts are kept.
+    copies of any size gives no edge.  Null texts are kept.  Copies are told by 128 bits of hashes.
     """
-    from corpusloom.operators.simjoin import jaccard_join
-
-    firsts = stored(rows.where("text is not null and text <> ''").groupBy("text").agg(F.min("id").alias("first")), "near-firsts")
-    nodes = firsts.select(F.col("first").alias("id"), "text")
-    state = independent_first(nodes.select("id"), jaccard_join(nodes, None, threshold, n))
-    fate = firsts.join(state, F.col("first") == F.col("id")).select("text", "first", F.col("kept").alias("_kept"), F.col("by").alias("_by"))
-    both = rows.select("id", "text").join(fate, "text", "left")
-    alone = F.col("first").isNull() | (F.col("first") == F.col("id"))
-    return both.select("id", F.when(F.col("first").isNull(), True).when(alone, F.col("_kept")).otherwise(False).alias("kept"), F.when(alone, F.col("_by")).otherwise(F.coalesce("_by", "first")).alias("by"))
+    from corpusloom.operators.simjoin import distinct_pairs
+
+    hashes = F.xxhash64("text").alias("h"), F.xxhash64(F.lit(5), "text").alias("g")
+    rows = stored(rows.select("id", "text"), "near-rows")
+    there = rows.where("text is not null and text <> ''")
+    nodes = stored(there.groupBy("text").agg(F.min("id").alias("id")).select("id", "text"), "near-firsts")
+    state = independent_first(nodes.select("id"), distinct_pairs(nodes, threshold, n))
+    fate = nodes.select(F.col("id").alias("first"), *hashes).join(state.select(F.col("id").alias("first"), F.col("kept").alias("_kept"), F.col("by").alias("_by")), "first")
+    both = there.select("id", *hashes).join(fate, ["h", "g"])
+    alone = F.col("first") == F.col("id")
+    judged = both.select("id", F.when(alone, F.col("_kept")).otherwise(False).alias("kept"), F.when(alone, F.col("_by")).otherwise(F.coalesce("_by", "first")).alias("by"))
+    bare = rows.where("text is null or text = ''")
+    return judged.unionByName(bare.select("id", F.lit(True).alias("kept"), F.lit(None).cast(rows.schema["id"].dataType).alias("by")))
 
 
 def not_in(rows: DataFrame, reference: DataFrame, on: str) -> DataFrame:
